@@ -1 +1,26 @@
 """Evidence-memory retrieval and corpus preparation on PySpark."""
+
+from __future__ import annotations
+
+import io
+import tempfile
+import zipfile
+from pathlib import Path
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Send this package to the executors, once a Spark application; Python tasks import it there."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    path = Path(tempfile.mkdtemp(prefix="hearthledger-")) / "hearthledger-code.zip"
+    path.write_bytes(held.getvalue())
+    spark.sparkContext.addPyFile(str(path))
