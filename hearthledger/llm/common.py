@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthledger import ship
+
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
 GAP_RE = r"[\x20\x09-\x0D]+"
@@ -22,6 +24,7 @@ _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -171,3 +174,48 @@ def window_hashes(words: np.ndarray, firsts: np.ndarray, width: int, salt: int =
     for edge in np.unique(firsts[1:-1]):
         whole[max(0, edge - width + 1) : edge] = False
     return mix64(h), whole
+
+
+def slices(batches, column: int, limit: int = 8 << 20):
+    """Cut Arrow batches so that `column` holds about `limit` bytes at most; a longer single row stays whole."""
+    for batch in batches:
+        _, offsets = arrow_bytes(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(rid, doc_id, text): rid names a row.  Where ids are unique and not null they serve; else rows are written with a number."""
+    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    seen = d.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max(F.col("doc_id").isNull()).alias("null")).collect()[0]
+    if (seen["most"] or 1) == 1 and not seen["null"]:
+        return d.select(F.col("doc_id").alias("rid"), "doc_id", "text")
+    return written(d.withColumn("rid", F.monotonically_increasing_id()), "keyed").select("rid", "doc_id", "text")
+
+
+LAST_ID = (1 << 63) - 1
+
+
+def ids_of(column) -> np.ndarray:
+    """doc_id as int64; null sorts after all others."""
+    return column.fill_null(LAST_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def merged(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of intervals of each row, as maximal intervals."""
+    order = np.lexsort((starts, rows))
+    r, s, e = rows[order], starts[order], ends[order]
+    if not len(r):
+        return r, s, e
+    # A shift by row keeps rows apart, so one running maximum serves all.
+    base = np.zeros(len(r), dtype=np.int64)
+    new_row = np.r_[True, r[1:] != r[:-1]]
+    base = np.cumsum(new_row) * (int(e.max()) + 2)
+    reach = np.maximum.accumulate(e + base)
+    fresh = np.r_[True, (s[1:] + base[1:]) > reach[:-1]]
+    first = np.flatnonzero(fresh)
+    last = np.r_[first[1:] - 1, len(r) - 1]
+    return r[first], s[first], reach[last] - base[last]
