@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-TOP, RERANK, RECALL = 5, 256, 0.985
+TOP, RERANK, RECALL = 5, 128, 0.985
 FIT_ROWS, MAX_CELLS, SUBSPACES, CODES = 20_000, 1024, 16, 256
-ENTRIES, QUERIES_A_BLOCK = 8192, 1024
+SHELF, ENTRIES, QUERIES_A_BLOCK = 16, 8192, 1024
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -74,11 +74,11 @@ class Model:
     def probed(self, x: np.ndarray) -> np.ndarray:
         return np.argsort(-(x @ self.cells.T), axis=1, kind="stable")[:, : self.probes]
 
-    def scores(self, query: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric inner products of one query with coded entries of a cell."""
-        out = np.full(len(codes), float(query @ self.cells[cell]))
+    def scores(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric inner products of queries (rows) with coded entries of a cell (columns)."""
+        out = np.repeat((queries @ self.cells[cell])[:, None], len(codes), axis=1)
         for j, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
-            out += (b @ query[c])[codes[:, j]]
+            out += (queries[:, c] @ b.T)[:, codes[:, j]]
         return out
 
 
@@ -128,35 +128,43 @@ def search(vectors: DataFrame, every: int = 50, key: str = "vec_id", vector: str
         for pdf in batches:
             if len(pdf):
                 cells = shared.value.probed(_unit(np.array(pdf["v"].tolist())))
-                yield pd.DataFrame({"query_id": np.repeat(pdf["id"].to_numpy(), cells.shape[1]), "q": np.repeat(pdf["v"].to_numpy(), cells.shape[1]), "cell": cells.ravel()})
+                rows_ = np.repeat(np.arange(len(pdf)), cells.shape[1])
+                yield pd.DataFrame({"asked": pdf["asked"].to_numpy()[rows_], "q": pdf["v"].to_numpy()[rows_], "cell": cells.ravel()})
 
     index = written(entries.mapInPandas(encode, "entry long, cell int, code binary"), "index")
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"])
-    probes = asked.mapInPandas(probe, "query_id long, q array<double>, cell int")
-    sizes = {r["cell"]: -(-r["n"] // ENTRIES) for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    asked = written(rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"]).withColumn("asked", F.xxhash64("id", "v")), "asked")
+    shelf = F.floor(F.col("cell") / F.lit(SHELF)).cast("int")
+    probes = asked.mapInPandas(probe, "asked long, q array<double>, cell int").withColumn("shelf", shelf)
+    index = index.withColumn("shelf", shelf)
+    sizes = {r["shelf"]: -(-r["n"] // ENTRIES) for r in index.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
     wide = int(asked.count()) // QUERIES_A_BLOCK + 1
-    blocks = spark.createDataFrame([(int(c), int(n)) for c, n in sizes.items()], "cell int, blocks int")
-    # Entries of a cell lie in blocks by hash, queries in blocks by hash; every pair of blocks meets once.
-    left = index.join(F.broadcast(blocks), "cell").select("cell", F.pmod(F.xxhash64("entry"), F.col("blocks").cast("long")).alias("eb"), F.explode(F.sequence(F.lit(0), F.lit(wide - 1))).cast("long").alias("qb"), "entry", "code")
-    right = probes.join(F.broadcast(blocks), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("eb"), F.pmod(F.xxhash64("query_id"), F.lit(wide)).cast("long").alias("qb"), "query_id", "q")
+    blocks = spark.createDataFrame([(int(c), int(n)) for c, n in sizes.items()], "shelf int, blocks long")
+    count_up = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    # A shelf is a few cells.  Its entries lie in blocks by hash, queries in blocks by hash; blocks meet once.
+    left = index.join(F.broadcast(blocks), "shelf").select("shelf", F.pmod(F.xxhash64("entry"), "blocks").alias("eb"), count_up(F.lit(wide).cast("long")).alias("qb"), "cell", "entry", "code")
+    right = probes.join(F.broadcast(blocks), "shelf").select("shelf", count_up(F.col("blocks")).alias("eb"), F.pmod(F.xxhash64("asked"), F.lit(wide).cast("long")).alias("qb"), "cell", "asked", "q")
 
-    def meet(key_, entries_, queries_):
+    def meet(entries_, queries_):
         import pandas as pd
 
-        out = []
-        if len(entries_) and len(queries_):
-            codes = np.frombuffer(b"".join(entries_["code"]), dtype=np.uint8).reshape(len(entries_), -1)
-            names = entries_["entry"].to_numpy()
-            unit = _unit(np.array(queries_["q"].tolist()))
-            for i, (qid, q) in enumerate(zip(queries_["query_id"], queries_["q"], strict=True)):
-                s = shared.value.scores(unit[i], int(key_[0]), codes)
-                best = np.argpartition(-s, RERANK)[:RERANK] if len(s) > RERANK else np.arange(len(s))
-                out.append(pd.DataFrame({"query_id": qid, "q": [q] * len(best), "entry": names[best], "near": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q": [], "entry": [], "near": []})
-
-    found = left.groupBy("cell", "eb", "qb").cogroup(right.groupBy("cell", "eb", "qb")).applyInPandas(meet, "query_id long, q array<double>, entry long, near double")
-    turn = Window.partitionBy("query_id", "q").orderBy(F.desc("near"), "entry")
-    found = found.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= RERANK)
+        found_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for cell, own in entries_.groupby("cell"):
+            here = queries_[queries_["cell"] == cell]
+            if len(here):
+                codes = np.frombuffer(b"".join(own["code"]), dtype=np.uint8).reshape(len(own), -1)
+                s = shared.value.scores(_unit(np.array(here["q"].tolist())), int(cell), codes)
+                names, n = own["entry"].to_numpy(), s.shape[1]
+                best = np.argpartition(-s, RERANK, axis=1)[:, :RERANK] if n > RERANK else np.tile(np.arange(n), (len(s), 1))
+                found_.append((np.repeat(here["asked"].to_numpy(), best.shape[1]), names[best].ravel(), np.take_along_axis(s, best, axis=1).ravel()))
+        if not found_:
+            return pd.DataFrame({"asked": [], "entry": [], "near": []})
+        out = pd.DataFrame(dict(zip(("asked", "entry", "near"), map(np.concatenate, zip(*found_, strict=True)), strict=True)))
+        return out.sort_values("near", ascending=False, kind="stable").groupby("asked", sort=False).head(RERANK)
+
+    found = left.groupBy("shelf", "eb", "qb").cogroup(right.groupBy("shelf", "eb", "qb")).applyInPandas(meet, "asked long, entry long, near double")
+    turn = Window.partitionBy("asked").orderBy(F.desc("near"), "entry")
+    found = found.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= RERANK).select("asked", "entry")
+    found = found.join(asked.select("asked", F.col("id").alias("query_id"), F.col("v").alias("q")), "asked")
     exact = found.join(entries, "entry").select("query_id", _scores("q", "v").alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     exact = exact.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
