@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, mixing, packing, pii, quality_rules, substring_dedup
+from . import ann, minhash_dedup, mixing, packing, pii, quality_rules, substring_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.components(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op6_packing": op6_packing,
     "op7_mixing": op7_mixing,
     "op8_substring_dedup": op8_substring_dedup,
