@@ -105,7 +105,7 @@ def priced(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
-def columns(demand: np.ndarray, gap: float = 2e-4, rounds: int = 6000) -> list[tuple[np.ndarray, float]]:
+def columns(demand: np.ndarray, gap: float = 3e-4, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
     """Patterns and their (fractional) use: the fewest sequences that hold `demand` pieces of each class."""
     room = len(demand)
     kinds = np.flatnonzero(demand)
@@ -116,6 +116,7 @@ def columns(demand: np.ndarray, gap: float = 2e-4, rounds: int = 6000) -> list[t
     basis[np.arange(m), np.arange(m)] = room // (kinds + 1)
     inverse = np.diag(1.0 / np.diag(basis))
     use = inverse @ demand[kinds]
+    gap = max(gap, room / float(demand @ np.arange(1, room + 1)))  # closer than one sequence is lost in rounding
     for step in range(rounds):
         duals = inverse.sum(0)
         value = np.full(room, -1.0)
