@@ -7,6 +7,7 @@ inside a multi-byte character, so splitting bytes and splitting characters agree
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -61,6 +62,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of finished jobs now: it does so once their handles on the driver are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 # ---------------------------------------------------------------- words
 def lower_ascii(col: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"  # fixed: the 26 letters of ASCII
@@ -187,13 +194,13 @@ def slices(batches, column: int, limit: int = 8 << 20):
             at = end
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rid, doc_id, text): rid names a row.  Where ids are unique and not null they serve; else rows are written with a number."""
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """(rid, doc_id, text), and whether rid is doc_id.  rid names a row: the id where ids are unique and not null, else a written number."""
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = d.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max(F.col("doc_id").isNull()).alias("null")).collect()[0]
     if (seen["most"] or 1) == 1 and not seen["null"]:
-        return d.select(F.col("doc_id").alias("rid"), "doc_id", "text")
-    return written(d.withColumn("rid", F.monotonically_increasing_id()), "keyed").select("rid", "doc_id", "text")
+        return d.select(F.col("doc_id").alias("rid"), "doc_id", "text"), True
+    return written(d.withColumn("rid", F.monotonically_increasing_id()), "keyed").select("rid", "doc_id", "text"), False
 
 
 LAST_ID = (1 << 63) - 1

@@ -3,7 +3,7 @@
 First pass: every partition sketches its windows of ``WINDOW`` words (two hashed rows of slots counting 0, 1,
 2 or more); sketches are merged block by block.  A merged slot never counts less than a window's true number, so
 windows whose slots all count two or more contain every repeated one.  Second pass: only those windows are
-grouped exactly by 128-bit keys.  Windows already seen in a smaller document of the same batch are settled there, so
+grouped exactly by 96-bit keys.  Windows already seen in a smaller document of the same batch are settled there, so
 a frequent window sends one row per batch, not one per occurrence.
 
 The sketch is sized from the corpus and bounded by ``MAX_SLOTS`` (its merged bits, at most 128 MB, are broadcast).
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, ids_of, keyed, merged, mix64, slices, window_hashes, word_hashes, word_spans, words_of
+from .common import arrow_bytes, ids_of, keyed, merged, mix64, release, slices, window_hashes, word_hashes, word_spans, words_of, written
 
 WINDOW = 13
 MIN_SLOTS, MAX_SLOTS = 1 << 20, 1 << 30
@@ -47,13 +47,15 @@ def _slots(hashes: np.ndarray, slots: int) -> list[np.ndarray]:
 def _packed(slots: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.compress(np.diff(slots, prepend=0).astype("<u4").tobytes(), 1)
+    gaps = np.diff(slots, prepend=0).astype("<u4")
+    return zstandard.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # byte planes: the upper ones are nearly all zero
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
     import zstandard
 
-    return np.cumsum(np.frombuffer(zstandard.decompress(raw), dtype="<u4"), dtype=np.int64)
+    planes = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
 def _sketch(slots: int):
@@ -82,11 +84,11 @@ def _sketch(slots: int):
             return pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int64()), pa.array(blocks, pa.int32()), pa.array(once_, pa.binary()), pa.array(twice_, pa.binary())], names=["part", "block", "once", "twice"])
 
         n = 0
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, 3 << 20):
             for x in _slots(_windows(batch, 0)[0], slots):
                 held.append(x.astype(np.uint32))
                 n += len(x)
-            if n > 24 << 20:
+            if n > 12 << 20:
                 yield flush()
                 n = 0
         yield flush()
@@ -130,12 +132,12 @@ def _estimated(bits: np.ndarray, hashes: np.ndarray, slots: int) -> np.ndarray:
     return out
 
 
-def _second(shared, slots: int):
+def _second(shared, slots: int, names: list[str]):
     def run(batches):
         import pyarrow as pa
 
         bits = shared.value
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, 3 << 20):
             h1, row, pos, at = _windows(batch, 2)
             some = _estimated(bits, h1, slots)
             if not some.any():
@@ -160,23 +162,15 @@ def _second(shared, slots: int):
             n_keep, n_gone = int(keep.sum()), len(g_row)
             spread = mix64((g_row.astype(np.uint64) << np.uint64(32)) + g_pos.astype(np.uint64) + rid[g_row].astype(np.uint64))
             rows_ = np.r_[row[keep], g_row]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.r_[h1[keep], spread].view(np.int64)),
-                    pa.array(np.r_[h2[keep], np.zeros(n_gone, np.uint64)].view(np.int64)),
-                    pa.array(rid[rows_]),
-                    pa.array(doc[rows_]),
-                    pa.array(np.r_[pos[keep], g_pos].astype(np.int32)),
-                    pa.array(np.r_[run_[keep], g_end - g_pos].astype(np.int32)),
-                    pa.array(np.r_[np.zeros(n_keep, bool), np.ones(n_gone, bool)]),
-                ],
-                names=["h1", "h2", "rid", "doc", "pos", "run", "gone"],
-            )
+            span = (np.r_[pos[keep], g_pos] << 32) | (np.r_[run_[keep], g_end - g_pos] << 1) | np.r_[np.zeros(n_keep, np.int64), np.ones(n_gone, np.int64)]
+            tail = (h2[keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            cols = [pa.array(np.r_[h1[keep], spread].view(np.int64)), pa.array(np.r_[tail, np.zeros(n_gone, np.uint32)].view(np.int32)), pa.array(rid[rows_]), pa.array(span)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(doc[rows_])][: len(names)], names=names)
 
     return run
 
 
-def repeated(rows: DataFrame) -> DataFrame:
+def repeated(rows: DataFrame, unique: bool) -> DataFrame:
     """(rid, spans): where windows start that also start in a smaller document."""
     spark = rows.sparkSession
     chars = rows.agg(F.sum(F.length("text"))).collect()[0][0] or 0
@@ -184,10 +178,19 @@ def repeated(rows: DataFrame) -> DataFrame:
     while slots < MAX_SLOTS and slots < chars * 8 // 6:
         slots *= 2
     shared = spark.sparkContext.broadcast(sketched(rows.select("text"), slots))
-    found = rows.mapInArrow(_second(shared, slots), "h1 long, h2 long, rid long, doc long, pos int, run int, gone boolean")
-    first = F.min("doc").over(Window.partitionBy("h1", "h2"))
-    late = found.withColumn("first", first).where(F.col("gone") | (F.col("doc") > F.col("first")))
-    return late.groupBy("rid").agg(F.collect_list(F.struct("pos", "run")).alias("spans"))
+    release(spark)
+    # span packs a start (upper half), a run length and whether the run is settled; doc only where it is not rid.
+    kinds = {"h1": "long", "h2": "int", "rid": "long", "span": "long", "doc": "long"}
+    names = list(kinds)[: 4 if unique else 5]
+    found = rows.mapInArrow(_second(shared, slots, names), ", ".join(f"{n} {kinds[n]}" for n in names))
+    order = F.col(names[-1] if not unique else "rid")
+    first = F.min(order).over(Window.partitionBy("h1", "h2"))
+    late = found.withColumn("first", first).where((F.col("span") % 2 == 1) | (order > F.col("first")))
+    pos, run = F.shiftright("span", 32), F.shiftright(F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)), 1)
+    spans = written(late.groupBy("rid").agg(F.collect_list(F.struct(pos.alias("pos"), run.alias("run"))).alias("spans")), "spans")
+    shared.unpersist()
+    release(spark)
+    return spans
 
 
 def _kept(batches):
@@ -214,8 +217,8 @@ def _kept(batches):
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed and the kept words joined by one space."""
-    rows = keyed(docs, key, text)
-    joined = rows.join(repeated(rows), "rid", "left").select("doc_id", "text", "spans")
+    rows, unique = keyed(docs, key, text)
+    joined = rows.join(repeated(rows, unique), "rid", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
