@@ -105,6 +105,32 @@ def priced(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), pattern
 
 
+def first_columns(demand: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """A feasible basis: fill sequences with the largest classes that fit; each pattern is used until a class runs out.
+
+    Later patterns lack the classes that ran out before, so the columns are triangular up to order.
+    """
+    room, left, out = len(demand), demand.astype(float), []
+    alone = set(kinds.tolist())
+    while (left > 1e-9).any():
+        pattern, space = np.zeros(room), room
+        for k in np.flatnonzero(left > 1e-9)[::-1]:
+            n = min(space // (k + 1), int(np.ceil(left[k])))
+            pattern[k], space = n, space - n * (k + 1)
+        some = pattern > 0
+        ratio = np.where(some, left / np.where(some, pattern, 1), np.inf)
+        over = int(ratio.argmin())
+        left = np.maximum(left - ratio[over] * pattern, 0)
+        left[over] = 0
+        alone.discard(over)
+        out.append(pattern[kinds])
+    for k in sorted(alone):  # ran out together with another class
+        single = np.zeros(room)
+        single[k] = room // (k + 1)
+        out.append(single[kinds])
+    return np.array(out).T
+
+
 def columns(demand: np.ndarray, gap: float = 3e-4, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
     """Patterns and their (fractional) use: the fewest sequences that hold `demand` pieces of each class."""
     room = len(demand)
@@ -112,10 +138,9 @@ def columns(demand: np.ndarray, gap: float = 3e-4, rounds: int = 4000) -> list[t
     if not len(kinds):
         return []
     m = len(kinds)
-    basis = np.zeros((m, m))
-    basis[np.arange(m), np.arange(m)] = room // (kinds + 1)
-    inverse = np.diag(1.0 / np.diag(basis))
-    use = inverse @ demand[kinds]
+    basis = first_columns(demand, kinds)
+    inverse = np.linalg.inv(basis)
+    use = np.maximum(inverse @ demand[kinds], 0)
     gap = max(gap, room / float(demand @ np.arange(1, room + 1)))  # closer than one sequence is lost in rounding
     for step in range(rounds):
         duals = inverse.sum(0)
