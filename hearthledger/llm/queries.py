@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, lm_scoring, minhash_dedup, mixing, packing, pii, quality_rules, substring_dedup, suffix_dedup
+from . import ann, html_extract, lm_scoring, minhash_dedup, mixing, packing, pii, quality_rules, substring_dedup, suffix_dedup
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.components(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_extract": op3_html_extract,
     "op4_minhash_dedup": op4_minhash_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
