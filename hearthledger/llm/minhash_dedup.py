@@ -102,24 +102,65 @@ def _sign(width: int):
     return run
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of edges (a, b) as edges from each node to the smallest of its component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        p, q = label[x], label[y]
+        if np.array_equal(p, q):
+            break
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(further := label[label], label):
+            label = further
+    low = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[low], ids[label[low]]
+
+
+def _contracted(batches):
+    """Edges of a task as stars, a million edges at a time."""
+    import pyarrow as pa
+
+    held, size = [], 0
+
+    def give():
+        t = pa.Table.from_batches(held)
+        a, b = stars(t.column(0).to_numpy(), t.column(1).to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= 1 << 20:
+            yield give()
+            held, size = [], 0
+    if size:
+        yield give()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each node has one edge down at most, and no node has edges on both sides."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    each = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not each.agg(F.max((F.col("down") + F.col("up") > 1).cast("int"))).collect()[0][0]
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over `edges` (a, b); every node of an edge is listed.
 
-    Each round moves all edges to the smaller neighbour of their ends (alternating large and small stars), so
-    long chains shrink geometrically and no node gathers its neighbours.
+    Tasks first turn their own edges into stars.  Each round then moves all edges to the smaller neighbour of their
+    ends (a large and a small star), so long chains shrink geometrically and no node gathers its neighbours.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
-    while True:
+    now = written(edges.select("a", "b").where("a <> b").mapInArrow(_contracted, "a long, b long"), "edges")
+    while not _settled(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small, "edges")
-        was, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
-        if was == mark:
-            return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.select("a", F.col("m").alias("b")))
+        now = written(small.mapInArrow(_contracted, "a long, b long").distinct(), "edges")
+    return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def linked(sets: list[np.ndarray], low: np.ndarray, percent: int, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -186,7 +227,8 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80, key: str = "d
         apart = pdf["block"].to_numpy() if key_[1] != key_[2] else None
         low = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(len(pdf), -1)
         got = linked([np.frombuffer(x, dtype=np.uint64) for x in pdf["set"]], low, percent, apart)
-        return pd.DataFrame({"a": [nodes[i] for i, _ in got], "b": [nodes[j] for _, j in got]}, dtype="int64")
+        a, b = stars(nodes[[i for i, _ in got]].astype(np.int64), nodes[[j for _, j in got]].astype(np.int64))
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
     sets = texts.select("doc_id", "text").mapInArrow(shingled, "node long, set binary, low binary")
     links = told.join(sets, "node").groupBy("root", "lo", "hi").applyInPandas(meet, "a long, b long")
