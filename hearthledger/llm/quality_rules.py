@@ -49,6 +49,12 @@ RULES = (
 )
 
 
+def stays() -> Column:
+    """Always true.  A projection that names the partition stays below a filter; else the optimiser would write the
+    counters' whole expressions into the filter's condition again and again."""
+    return F.spark_partition_id() >= 0
+
+
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the counters under reserved names (prefix ``P``)."""
     c = lambda name: F.col(P + name)
@@ -124,16 +130,14 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
         key,
         *(F.col(P + n).alias(n) for n in names),
         base_failed().alias("base_failed"),
-        verdict(rules).alias("kept"),
+        (verdict(rules) & stays()).alias("kept"),
         F.filter(F.array(*(F.when(broken(r), F.lit(r.name)) for r in rules)), lambda x: x.isNotNull()).alias("broken_rules"),
     )
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of `docs` that pass, with all their columns."""
-    # A projection that names the partition stays below the filter; else the optimiser would write the counters'
-    # whole expressions into the condition again and again.
-    judged = measured(docs, text).withColumn(P + "ok", verdict(rules) & (F.spark_partition_id() >= 0))
+    judged = measured(docs, text).withColumn(P + "ok", verdict(rules) & stays())
     return judged.where(P + "ok").select(*(F.col(f"`{n}`") for n in docs.columns))
 
 
