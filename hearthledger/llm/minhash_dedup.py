@@ -241,3 +241,17 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80, key: str =
     """`docs` with one document of each component, all columns unchanged."""
     gone = components(docs, width, percent, key, text).where("not kept").select(F.col("doc_id").alias("__hl_gone")).distinct()
     return docs.join(gone, docs[key] == gone["__hl_gone"], "left_anti")
+
+
+# All pairs that share a shingle, and their closure: for small tables.
+ORACLE_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+      else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as sh from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+two as (select a as x, b as y from e union all select b, a from e),
+r as (select doc_id, doc_id as reach from documents union select r.doc_id, two.y from r join two on r.reach = two.x),
+c as (select doc_id, min(reach) as component_id from r group by doc_id)
+select c.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, c.doc_id = component_id as kept from c left join n on n.doc_id = c.doc_id"""

@@ -64,4 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_minhash_dedup": minhash_dedup.ORACLE_SQL,
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }

@@ -224,3 +224,22 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def digest(docs: DataFrame) -> DataFrame:
     return deduplicated(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _oracle() -> str:
+    later = ", ".join(f"lead(word, {k}) over p" for k in range(1, WINDOW))
+    return rf"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+u as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+g as (select doc_id, i, word, lead(word, {WINDOW - 1}) over p is not null as whole, concat_ws(' ', word, {later}) as win
+      from u window p as (partition by doc_id order by i)),
+f as (select win, min(doc_id) as first_id from g where whole group by win),
+m as (select g.doc_id, i, word, max(case when whole and first_id < g.doc_id then 1 else 0 end)
+             over (partition by g.doc_id order by i rows between {WINDOW - 1} preceding and current row) as gone
+      from g left join f using (win)),
+k as (select doc_id, sum(gone)::bigint as n_removed, string_agg(word, ' ' order by i) filter (gone = 0) as kept from m group by doc_id)
+select w.doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k on k.doc_id = w.doc_id"""
+
+
+ORACLE_SQL = _oracle()
