@@ -5,8 +5,9 @@ the output shards splits these quotas by multivariate-hypergeometric draws, so t
 share of blocks and each block belongs to one shard.  Shards read disjoint slices of the permuted blocks and are
 shuffled locally.  All draws are seeded: reruns agree.
 
-Only one row per source and per (source, block) is aggregated; sources are at most ``MAX_SOURCES``, blocks of a
-source at most ``MAX_BLOCKS``.
+Only one row per source and per (source, block) is aggregated; sources are at most ``MAX_SOURCES`` (more raise an
+error), blocks of a source at most ``MAX_BLOCKS``, shards at most ``MAX_SHARDS``; larger corpora have larger blocks
+and shards.
 
 Defined cases: null text has size 0; the null source is a source, ranked last; repeated rows are separate
 documents; an empty table gives an empty table; a source without words gives none; extra columns are kept by
@@ -24,7 +25,8 @@ from .common import n_words, written
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 SEED, WORDS_A_SHARD = 20_240_229, 2_000_000
-MAX_BLOCKS, DOCS_A_BLOCK, MAX_SOURCES = 4096, 64, 1_000_000
+MAX_BLOCKS, DOCS_A_BLOCK, MAX_SOURCES = 1 << 16, 64, 1_000_000
+MAX_SHARDS, MAX_CELLS = 1 << 16, 1 << 24  # shards, and shards times sources, of the tree's table
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -74,7 +76,7 @@ def draws(docs: DataFrame, source: str = "source", text: str = "text", shards: i
         raise ValueError(f"more than {MAX_SOURCES} sources")
     per.sort(key=lambda r: (r["src"] is None, r["src"] or ""))
     goal = targets([r["words"] for r in per], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(per))])
-    shards = shards or max(1, int(sum(goal)) // WORDS_A_SHARD)
+    shards = shards or max(1, min(int(sum(goal)) // WORDS_A_SHARD, MAX_SHARDS, MAX_CELLS // max(1, len(per))))
     rows = []
     for i, r in enumerate(per):
         take = round(goal[i])
