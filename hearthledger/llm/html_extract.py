@@ -48,21 +48,25 @@ NOISE_NAMES = frozenset(
     widget widgets""".split()
 )
 AGAINST = frozenset("has no with without is js".split())  # "has-sidebar" tells of a page, not of a sidebar
+BEGIN = ("advert", "breadcrumb", "comment", "cookie", "newsletter", "sponsor", "subscri")  # fixed values: "commentlist"
 CLOSED_BY = {"li": ("li", ("ul", "ol", "menu", "dir")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/>]|\Z))", re.I)
 CLOSE = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
-NAMES = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+NAMES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 FORM, OTHER = 1, 2
 
 
 def _named_noise(names: str, article: bool) -> bool:
     for name in names.split():
         parts = [x.lower() for x in NAMES.findall(name)]
-        if not parts or parts[0] in AGAINST:
+        if "layout" in parts:
             continue
-        if any(p in NOISE_NAMES for p in parts) or (not article and "header" in parts and not {"article", "post", "entry"} & set(parts)):
+        for before, part in zip(["", *parts], parts, strict=False):
+            if before not in AGAINST and (part in NOISE_NAMES or (part.startswith(BEGIN) and part != "commentary")):
+                return True
+        if not article and "header" in parts and not {"article", "post", "entry"} & set(parts):
             return True
     return False
 
@@ -83,7 +87,8 @@ class _Node:
 class Page:
     """Blocks of a page, and the nodes that the tree has to weigh."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, names: bool = True):
+        self._names = names
         self.blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # text, in an article, in main, weighed nodes around it
         self.styles: list[tuple[int, _Node]] = []
         self._pieces: list[str] = []
@@ -197,7 +202,7 @@ class Page:
             noise &= OTHER
         if tag == "form":
             noise |= FORM
-        if hidden or tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not top.article) or (names and tag not in ("html", "body") and _named_noise(names, top.article or tag in ("article", "main"))):
+        if hidden or tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not top.article) or (names and self._names and tag not in ("html", "body") and _named_noise(names, top.article or tag in ("article", "main"))):
             noise |= OTHER
         article = top.article or (tag == "article" and not noise)
         main = top.main or ((tag == "main" or role == "main") and not noise)
@@ -237,6 +242,16 @@ class Page:
             yield key, 1, _key(w), n
 
 
+def page_of(source: str) -> Page:
+    """A page; where names alone hide all of its article or main element, these are read regardless of names."""
+    page = Page(source)
+    if not page.blocks:
+        bare = Page(source, names=False)
+        if any(b[1] or b[2] for b in bare.blocks):
+            return bare
+    return page
+
+
 def _site(url, digest):
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     return F.when(host == "", F.concat(F.lit("?"), digest.cast("string"))).otherwise(host)
@@ -250,7 +265,7 @@ def _features(batches):
         for host, digest, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if source and (host, digest) not in done:
                 done.add((host, digest))
-                out += [(host, digest, *row) for row in Page(source).features()]
+                out += [(host, digest, *row) for row in page_of(source).features()]
         for i in range(0, len(out), 50_000):
             part = list(zip(*out[i : i + 50_000], strict=True))
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
@@ -301,7 +316,7 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", source:
             out = []
             for host, html, low in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 gone = held.value.get(host, frozenset()) if low is None else frozenset(low)
-                out.append(" ".join(Page(html).kept(gone)) if html else "")
+                out.append(" ".join(page_of(html).kept(gone)) if html else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(d.dtypes)

@@ -23,6 +23,15 @@ def test_raw_text_and_broken_markup():
     assert H.Page("").kept() == []
 
 
+def test_names_of_what_is_not_main_text():
+    noise = ["reader-comments", "commentlist", "adBox", "ADS", "site-header", "cookieBar", "x newsletter-box"]
+    assert [n for n in noise if H.Page(f"<div class='{n}'>no</div><p>yes</p>").kept() != ["yes"]] == []
+    plain = ["page-with-sidebar", "has-sidebar", "layout-sidebar-left", "commentary", "reads", "article-header"]
+    assert [n for n in plain if H.Page(f"<div class='{n}'>yes</div>").kept() != ["yes"]] == []
+    assert H.page_of("<div class=widget><article>yes</article></div>").kept() == ["yes"]
+    assert H.page_of("<div class=ad>no</div><article></article>").kept() == []
+
+
 @pytest.mark.parametrize("sent", [H.SENT, -1])
 def test_tree_removes_what_a_site_repeats(spark, sent):
     bodies = [f"<div class=top>Welcome to our lovely site today</div><div class=text>{' '.join(f'w{i}x{j}' for j in range(30))}</div>" for i in range(6)]
