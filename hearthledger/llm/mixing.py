@@ -129,7 +129,9 @@ def taken(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
 def mixed(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: rows of `docs`, once for each draw, cut to the words drawn, shuffled within shards."""
     sized, out = draws(docs, source, text)
-    cut = F.array_join(F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("take").cast("int")), " ")
-    rows = sized.join(out, "__hl_rid").withColumn(text, F.when(F.col("take") < F.col("__hl_size"), cut).otherwise(F.col(text)))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "place")
+    out = out.select("__hl_rid", *(F.col(n).alias(f"__hl_{n}") for n in ("take", "shard", "place")))
+    take = F.col("__hl_take")
+    cut = F.array_join(F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, take.cast("int")), " ")
+    rows = sized.join(out, "__hl_rid").withColumn(text, F.when(take < F.col("__hl_size"), cut).otherwise(F.col(text)))
+    rows = rows.repartition("__hl_shard").sortWithinPartitions("__hl_shard", "__hl_place")
     return rows.select(*(F.col(f"`{n}`") for n in docs.columns))

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from hearthledger.llm import ann, mixing, packing, pii, quality_rules, substring_dedup, suffix_dedup
+from hearthledger.llm import ann, minhash_dedup, mixing, packing, pii, quality_rules, substring_dedup, suffix_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, source string, size long"
@@ -225,6 +225,18 @@ def test_masked_keeps_rows_and_columns(spark):
     assert not any(base(t) for t in got.values() if t)
 
 
+def test_clashing_names_survive(spark):
+    names = ["take", "shard", "pass", "place", "rank", "block", "h", "words", "src", "more", "span", "n_words", "root", "a"]
+    columns = ", ".join(f"{n} int" for n in names)
+    df = spark.createDataFrame([(1, "the red house and the blue river by the green tree " * 3, None, *range(14)), (None, None, "s", *[None] * 14)], f"doc_id long, text string, source string, {columns}")
+    for run in (mixing.mixed, pii.masked, quality_rules.passing, minhash_dedup.deduplicated):
+        got = run(df)
+        assert got.columns == df.columns
+        assert all(r["place"] in (3, None) for r in got.collect())
+    for run in (mixing.taken, pii.find, quality_rules.judge, minhash_dedup.components, packing.packed, suffix_dedup.digest, substring_dedup.digest):
+        assert {r.doc_id for r in run(df).collect()} == {1, None}
+
+
 @pytest.mark.parametrize("run", [suffix_dedup.digest, substring_dedup.digest, quality_rules.judge, quality_rules.passing, packing.packed, mixing.taken, mixing.mixed, pii.find, pii.masked])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).collect() == []
