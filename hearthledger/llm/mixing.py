@@ -16,6 +16,8 @@ documents; an empty table gives an empty table; a source without words gives non
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ SHARE, CAP = 1.5, 2.0
 SEED, WORDS_A_SHARD = 20_240_229, 2_000_000
 MAX_BLOCKS, DOCS_A_BLOCK, MAX_SOURCES = 1 << 16, 64, 1_000_000
 MAX_SHARDS, MAX_CELLS = 1 << 16, 1 << 24  # shards, and shards times sources, of the tree's table
+SENT = 200_000  # drawn blocks, of some 40 bytes, that tasks may get whole
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -66,8 +69,14 @@ def split(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def draws(docs: DataFrame, source: str = "source", text: str = "text", shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(sized rows, one row for every draw of a document: its pass, words to take, shard and place there)."""
+class Plan(NamedTuple):
+    sized: DataFrame  # the input with row number and size
+    lean: DataFrame  # row number, size, source's rank, block
+    dealt: DataFrame  # each drawn block: rank, block, words, pass, words to take (room), shard
+    sources: DataFrame
+
+
+def planned(docs: DataFrame, source: str = "source", text: str = "text", shards: int | None = None, seed: int = SEED) -> Plan:
     spark = docs.sparkSession
     sized = written(docs.withColumns({"__hl_rid": F.monotonically_increasing_id(), "__hl_size": n_words(F.col(text))}), "sized")
     src = F.col(source)
@@ -85,7 +94,7 @@ def draws(docs: DataFrame, source: str = "source", text: str = "text", shards: i
         rows.append((r["src"], i, int(r["words"]), float(goal[i]), int(whole), int(take - whole * r["words"]), blocks))
     kind = sized.schema[source].dataType.simpleString()
     sources = spark.createDataFrame(rows, f"src {kind}, rank int, source_size long, target double, passes long, rest long, blocks int")
-    lean = sized.select("__hl_rid", "__hl_size", src.alias("src"), F.xxhash64("__hl_rid", F.lit(seed)).alias("h"))
+    lean = sized.select("__hl_rid", "__hl_size", src.alias("src"), _hash(seed).alias("h"))
     lean = lean.join(sources, lean["src"].eqNullSafe(sources["src"])).drop("src").withColumn("block", F.pmod("h", F.col("blocks").cast("long")))
     # One row per block; the extra pass takes blocks in permuted order until the rest is reached.
     turn = Window.partitionBy("rank").orderBy(F.xxhash64("block", F.lit(seed + 1)), "block")  # at most MAX_BLOCKS rows a source
@@ -106,32 +115,60 @@ def draws(docs: DataFrame, source: str = "source", text: str = "text", shards: i
     ends = np.cumsum(split(quotas, shards, seed), axis=0)
     slices = spark.createDataFrame([(i, ends[:, i].tolist()) for i in range(len(rows))], "rank int, ends array<long>")
     dealt = drawn.join(slices, "rank").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))).cast("int"))
-    # A whole block gives all its documents; the one partial block of a source gives them in order of their hash.
-    each = lean.select("__hl_rid", "__hl_size", "rank", "block", "h").join(dealt, ["rank", "block"])
-    full = each.where(F.col("room") == F.col("words")).select("__hl_rid", "pass", F.col("__hl_size").alias("take"), "shard")
+    return Plan(sized, lean, dealt, sources)
+
+
+def _hash(seed: int = SEED):
+    return F.xxhash64("__hl_rid", F.lit(seed))
+
+
+def _whole(lean: DataFrame, dealt: DataFrame) -> DataFrame:
+    """A whole block gives all its documents."""
+    return lean.join(dealt, ["rank", "block"]).where("room = words").select("__hl_rid", "pass", F.col("__hl_size").alias("take"), "shard")
+
+
+def _partial(lean: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The one partial block of a source gives its documents in order of their hash."""
     inside = Window.partitionBy("rank", "block").orderBy("h", "__hl_rid").rowsBetween(Window.unboundedPreceding, 0)
-    part = each.where(F.col("room") < F.col("words")).withColumn("end", F.sum("__hl_size").over(inside))
-    part = part.select("__hl_rid", "pass", F.greatest(F.lit(0).cast("long"), F.least(F.col("__hl_size"), F.col("room") - (F.col("end") - F.col("__hl_size")))).alias("take"), "shard")
-    out = full.unionByName(part).where("take > 0").withColumn("place", F.xxhash64("shard", "__hl_rid", "pass", F.lit(seed)))
-    facts = sources.select(F.col("src").alias("__hl_src"), F.col("source_size").alias("__hl_source_size"), F.col("target").alias("__hl_target"))
-    return sized.join(facts, sized[source].eqNullSafe(facts["__hl_src"])).drop("__hl_src"), out
+    part = lean.join(dealt.where("room < words"), ["rank", "block"]).withColumn("end", F.sum("__hl_size").over(inside))
+    take = F.greatest(F.lit(0).cast("long"), F.least(F.col("__hl_size"), F.col("room") - (F.col("end") - F.col("__hl_size"))))
+    return part.select("__hl_rid", "pass", take.alias("take"), "shard").where("take > 0")
 
 
 def taken(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per input row: its words, its source's words and target, and the words that the mix takes of it."""
-    sized, out = draws(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")))
+    plan = planned(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")))
+    lean = plan.lean.select("__hl_rid", "__hl_size", "rank", "block", "h")
+    out = _whole(lean, plan.dealt).unionByName(_partial(lean, plan.dealt)).where("take > 0")
     sums = out.groupBy("__hl_rid").agg(F.sum("take").alias("taken"))
-    return sized.drop("text").join(sums, "__hl_rid", "left").select(
-        "doc_id", F.col("__hl_size").alias("size"), F.col("__hl_source_size").alias("source_size"), F.col("__hl_target").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
-    )
-
-
-def mixed(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
-    """The mix itself: rows of `docs`, once for each draw, cut to the words drawn, shuffled within shards."""
-    sized, out = draws(docs, source, text)
-    out = out.select("__hl_rid", *(F.col(n).alias(f"__hl_{n}") for n in ("take", "shard", "place")))
+    sized, facts = plan.sized.drop("text"), plan.sources.select(F.col("src").alias("__hl_src"), "source_size", "target")
+    sized = sized.join(facts, sized["source"].eqNullSafe(facts["__hl_src"]))
+    return sized.join(sums, "__hl_rid", "left").select("doc_id", F.col("__hl_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, source: str = "source", text: str = "text", sent: int = SENT) -> DataFrame:
+    """The mix itself: rows of `docs`, once for each draw, cut to the words drawn, shuffled within shards.
+
+    Texts are shuffled once, to their shards, where the drawn blocks are few enough to be sent to all tasks (at most
+    `sent` rows); else they are joined with their draws first.  Only documents of partial blocks are joined by row.
+    """
+    plan = planned(docs, source, text)
+    lean = plan.lean.select("__hl_rid", "__hl_size", "rank", "block", "h")
+    hidden = {n: f"__hl_{n}" for n in ("pass", "take", "shard", "rank", "block")}
+    hide = lambda d: d.select(*(F.col(n).alias(hidden.get(n, n)) for n in d.columns))
+    part = hide(_partial(lean, plan.dealt))
+    if plan.dealt.limit(sent + 1).count() <= sent:
+        names = plan.sources.select(F.col("src").alias("__hl_src"), F.col("rank").alias("__hl_rank"), F.col("blocks").cast("long").alias("__hl_blocks"))
+        rows = plan.sized.join(F.broadcast(names), plan.sized[source].eqNullSafe(names["__hl_src"])).withColumn("__hl_block", F.pmod(_hash(), F.col("__hl_blocks"))).drop("__hl_src", "__hl_blocks")
+        whole = hide(plan.dealt.where("room = words").select("rank", "block", "pass", "shard"))
+        full = rows.join(F.broadcast(whole), ["__hl_rank", "__hl_block"]).withColumn("__hl_take", F.col("__hl_size"))
+        cut_ = hide(plan.dealt.where("room < words").select("rank", "block").distinct())
+        rest = rows.join(F.broadcast(cut_), ["__hl_rank", "__hl_block"], "left_semi").join(part, "__hl_rid")
+        drawn = full.unionByName(rest)
+    else:
+        drawn = plan.sized.join(hide(_whole(lean, plan.dealt)).unionByName(part), "__hl_rid")
     take = F.col("__hl_take")
     cut = F.array_join(F.slice(F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, take.cast("int")), " ")
-    rows = sized.join(out, "__hl_rid").withColumn(text, F.when(take < F.col("__hl_size"), cut).otherwise(F.col(text)))
-    rows = rows.repartition("__hl_shard").sortWithinPartitions("__hl_shard", "__hl_place")
-    return rows.select(*(F.col(f"`{n}`") for n in docs.columns))
+    drawn = drawn.where(take > 0).withColumn(text, F.when(take < F.col("__hl_size"), cut).otherwise(F.col(text)))
+    drawn = drawn.withColumn("__hl_place", F.xxhash64("__hl_shard", "__hl_rid", "__hl_pass", F.lit(SEED)))
+    return drawn.repartition("__hl_shard").sortWithinPartitions("__hl_shard", "__hl_place").select(*(F.col(f"`{n}`") for n in docs.columns))

@@ -151,14 +151,17 @@ def test_splitting_tree_is_exact():
     assert (out.sum(0) == quotas).all() and np.ptp(out.sum(1)) <= 1
 
 
-def test_mixed_gives_the_words_taken(spark, texts):
-    rows = [(d, t, "ab"[d % 2]) for d, t in texts]
+@pytest.mark.parametrize("sent", [mixing.SENT, -1])
+def test_mixed_gives_the_words_taken(spark, texts, sent):
+    rows = [(d, t, "ab"[d // 2 % 2]) for d, t in texts]
     df = frame(spark, rows)
     want = {r.doc_id: r.taken for r in mixing.taken(df).collect()}
     got = collections.Counter()
-    for r in mixing.mixed(df).collect():
+    for r in mixing.mixed(df, sent=sent).collect():
         got[r.doc_id] += len(WORDS.findall(r.text or ""))
     assert abs(sum(got.values()) - sum(want.values())) <= 2
+    if sent > 0:
+        assert all(got[d] <= 2 * len(WORDS.findall(t or "")) for d, t in texts)
 
 
 def test_ann_recall_and_odd_vectors(spark):
