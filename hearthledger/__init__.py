@@ -10,8 +10,17 @@ from pathlib import Path
 _SHIPPED: set[str] = set()
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS_A_BATCH = 2_000  # rows of whole texts; Spark's default of 10,000 takes five times the memory on both sides
+
+
 def ship(spark) -> None:
-    """Send this package to the executors, once a Spark application; Python tasks import it there."""
+    """Send this package to the executors, once a Spark application; Python tasks import it there.
+
+    Where the session leaves the size of Arrow batches at its default, it is lowered to ``ROWS_A_BATCH``.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, ROWS_A_BATCH)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
