@@ -32,7 +32,7 @@ SENT = 50_000
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video select datalist noembed noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object canvas audio video select datalist noembed noframes xmp".split())
 BLOCK = frozenset(
     """address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
     h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split()
