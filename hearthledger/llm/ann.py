@@ -3,8 +3,11 @@
 Coarse centroids and codebooks are fitted on at most ``FIT_ROWS`` vectors (those with the smallest hash of their
 id); every vector is indexed.  Equal vectors share one index entry that keeps its ``TOP + 1`` smallest ids, which
 loses nothing in a top-``TOP`` with ties to smaller ids.  Queries probe the cells that a calibration on the fitted
-sample found to hold ``RECALL`` of true neighbours; a cell's entries and queries meet in blocks of bounded size;
-asymmetric distance tables rank entries, and the best ``RERANK`` of each query are scored exactly.
+sample found to hold ``RECALL`` of true neighbours; a cell's entries and queries meet in blocks of bounded size.
+There asymmetric distance tables rank entries.  The exact scores of the best ``RERANK`` of a cell only set a floor: all
+entries whose coded score, raised by the length of what their code leaves out, reaches the floor are scored exactly, so
+that codes lose no neighbour, however many entries are nearly equal.  A block returns its best ``TOP + 1`` of a query,
+times the most vectors that one id has.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
 components take no part; null ids neither; rows that repeat an id count once for each distinct vector; an empty
@@ -21,7 +24,9 @@ from .common import written
 
 TOP, RERANK, RECALL = 5, 128, 0.985
 FIT_ROWS, MAX_CELLS, SUBSPACES, CODES = 20_000, 1024, 16, 256
-SHELF, ENTRIES, QUERIES_A_BLOCK = 16, 8192, 1024
+SHELF, ENTRIES, QUERIES_A_BLOCK = 16, 8192, 16_384
+QUERIES_AT_ONCE = 512
+DIGITS = 12  # scores that agree to so many digits are ties
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -71,6 +76,11 @@ class Model:
         rest = x - self.cells[cell]
         return cell, np.stack([nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what the codes of x leave out."""
+        rest = x - self.cells[cell]
+        return np.sqrt(sum(((rest[:, c] - b[codes[:, j]]) ** 2).sum(1) for j, (c, b) in enumerate(zip(self.cuts, self.books, strict=True))))
+
     def probed(self, x: np.ndarray) -> np.ndarray:
         return np.argsort(-(x @ self.cells.T), axis=1, kind="stable")[:, : self.probes]
 
@@ -82,6 +92,49 @@ class Model:
         return out
 
 
+def _best(rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n best of each row: high scores first, then small ids."""
+    order = np.lexsort((ids, -scores, rows))
+    r = rows[order]
+    return order[np.arange(len(r)) - np.searchsorted(r, r, "left") < n]
+
+
+def _top(scores: np.ndarray, n: int) -> np.ndarray:
+    """The n highest scores of each row, in any order."""
+    return -np.partition(-scores, n - 1, axis=1)[:, :n] if scores.shape[1] > n else scores
+
+
+def best_of_block(model: Model, q: np.ndarray, probed: list, cells: np.ndarray, codes: np.ndarray, errors: np.ndarray, v: np.ndarray, ids: np.ndarray, n: int):
+    """(query, entry, exact score): the n best entries of each query in the cells that it probes; q and v have length 1."""
+    asks = np.repeat(np.arange(len(q)), [len(p) for p in probed])
+    cell_of_ask = np.concatenate([np.asarray(p) for p in probed])
+    high = np.full((len(q), n), -np.inf)
+    found = []
+    for cell in np.unique(cells):
+        at, mine = np.flatnonzero(cells == cell), asks[cell_of_ask == cell]
+        for i in range(0, len(mine), QUERIES_AT_ONCE):
+            part = mine[i : i + QUERIES_AT_ONCE]
+            coded = model.scores(q[part], int(cell), codes[at])
+            floor = high[part].min(1)
+            if len(at) > (some := max(RERANK, n)):
+                likely = np.argpartition(-coded, some, axis=1)[:, :some]
+                floor = np.maximum(floor, _top(np.stack([v[at[few]] @ x for few, x in zip(likely, q[part], strict=True)]), n).min(1))
+            # A code's score is off by no more than the length of what the code leaves out.
+            here = at[(coded + errors[at] >= floor[:, None] - 1e-9).any(0)]
+            if not len(here):
+                continue
+            exact = np.round(q[part] @ v[here].T, DIGITS)
+            high[part] = _top(np.concatenate([high[part], exact], axis=1), n)
+            r, e = np.nonzero(exact >= high[part].min(1)[:, None])
+            keep = _best(r, exact[r, e], ids[here[e]], n)
+            found.append((part[r[keep]], here[e[keep]], exact[r[keep], e[keep]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    rows, entries, scores = map(np.concatenate, zip(*found, strict=True))
+    keep = _best(rows, scores, ids[entries], n)
+    return rows[keep], entries[keep], scores[keep]
+
+
 def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     d = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
@@ -110,6 +163,8 @@ def search(vectors: DataFrame, every: int = 50, key: str = "vec_id", vector: str
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
+    # So many entries hold TOP + 1 different ids at least.
+    most = keep * entries.select(F.explode("ids").alias("id")).groupBy("id").count().agg(F.max("count")).collect()[0][0]
     sample = entries.select("v", "entry").orderBy(F.xxhash64("entry"), "entry").limit(FIT_ROWS).select("v").toPandas()["v"]
     model = Model(np.array(sample.tolist()), total)
     shared = spark.sparkContext.broadcast(model)  # at most MAX_CELLS centroids and SUBSPACES * CODES codewords
@@ -119,53 +174,55 @@ def search(vectors: DataFrame, every: int = 50, key: str = "vec_id", vector: str
 
         for pdf in batches:
             if len(pdf):
-                cell, codes = shared.value.encoded(_unit(np.array(pdf["v"].tolist())))
-                yield pd.DataFrame({"entry": pdf["entry"], "cell": cell, "code": [c.tobytes() for c in codes]})
+                x = _unit(np.array(pdf["v"].tolist()))
+                cell, codes = shared.value.encoded(x)
+                yield pd.DataFrame({"entry": pdf["entry"], "first": pdf["first"], "cell": cell, "code": [c.tobytes() for c in codes], "error": shared.value.errors(x, cell, codes), "v": pdf["v"]})
 
     def probe(batches):
         import pandas as pd
 
         for pdf in batches:
             if len(pdf):
-                cells = shared.value.probed(_unit(np.array(pdf["v"].tolist())))
-                rows_ = np.repeat(np.arange(len(pdf)), cells.shape[1])
-                yield pd.DataFrame({"asked": pdf["asked"].to_numpy()[rows_], "q": pdf["v"].to_numpy()[rows_], "cell": cells.ravel()})
-
-    index = written(entries.mapInPandas(encode, "entry long, cell int, code binary"), "index")
+                # One row for each shelf that a query probes, with its cells there.
+                cells = np.sort(shared.value.probed(_unit(np.array(pdf["v"].tolist()))), axis=1)
+                rows_, parts = [], []
+                for i, own in enumerate(cells):
+                    cut = np.split(own, np.flatnonzero(np.diff(own // SHELF)) + 1)
+                    rows_ += [i] * len(cut)
+                    parts += cut
+                yield pd.DataFrame({"asked": pdf["asked"].to_numpy()[rows_], "q": pdf["v"].to_numpy()[rows_], "shelf": [int(c[0]) // SHELF for c in parts], "cells": parts})
+
+    kind = "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"  # vectors travel as they came
+    small = F.col("v").cast(f"array<{kind}>").alias("v")
+    index = written(entries.select("entry", F.element_at("ids", 1).alias("first"), small).mapInPandas(encode, f"entry long, first long, cell int, code binary, error double, v array<{kind}>"), "index")
     asked = written(rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"]).withColumn("asked", F.xxhash64("id", "v")), "asked")
     shelf = F.floor(F.col("cell") / F.lit(SHELF)).cast("int")
-    probes = asked.mapInPandas(probe, "asked long, q array<double>, cell int").withColumn("shelf", shelf)
+    probes = asked.select("asked", small).mapInPandas(probe, f"asked long, q array<{kind}>, shelf int, cells array<int>")
     index = index.withColumn("shelf", shelf)
     sizes = {r["shelf"]: -(-r["n"] // ENTRIES) for r in index.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
     wide = int(asked.count()) // QUERIES_A_BLOCK + 1
     blocks = spark.createDataFrame([(int(c), int(n)) for c, n in sizes.items()], "shelf int, blocks long")
     count_up = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     # A shelf is a few cells.  Its entries lie in blocks by hash, queries in blocks by hash; blocks meet once.
-    left = index.join(F.broadcast(blocks), "shelf").select("shelf", F.pmod(F.xxhash64("entry"), "blocks").alias("eb"), count_up(F.lit(wide).cast("long")).alias("qb"), "cell", "entry", "code")
-    right = probes.join(F.broadcast(blocks), "shelf").select("shelf", count_up(F.col("blocks")).alias("eb"), F.pmod(F.xxhash64("asked"), F.lit(wide).cast("long")).alias("qb"), "cell", "asked", "q")
+    left = index.join(F.broadcast(blocks), "shelf").select("shelf", F.pmod(F.xxhash64("entry"), "blocks").alias("eb"), count_up(F.lit(wide).cast("long")).alias("qb"), "cell", "entry", "first", "code", "error", "v")
+    right = probes.join(F.broadcast(blocks), "shelf").select("shelf", count_up(F.col("blocks")).alias("eb"), F.pmod(F.xxhash64("asked"), F.lit(wide).cast("long")).alias("qb"), "cells", "asked", "q")
 
     def meet(entries_, queries_):
         import pandas as pd
 
-        found_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for cell, own in entries_.groupby("cell"):
-            here = queries_[queries_["cell"] == cell]
-            if len(here):
-                codes = np.frombuffer(b"".join(own["code"]), dtype=np.uint8).reshape(len(own), -1)
-                s = shared.value.scores(_unit(np.array(here["q"].tolist())), int(cell), codes)
-                names, n = own["entry"].to_numpy(), s.shape[1]
-                best = np.argpartition(-s, RERANK, axis=1)[:, :RERANK] if n > RERANK else np.tile(np.arange(n), (len(s), 1))
-                found_.append((np.repeat(here["asked"].to_numpy(), best.shape[1]), names[best].ravel(), np.take_along_axis(s, best, axis=1).ravel()))
-        if not found_:
-            return pd.DataFrame({"asked": [], "entry": [], "near": []})
-        out = pd.DataFrame(dict(zip(("asked", "entry", "near"), map(np.concatenate, zip(*found_, strict=True)), strict=True)))
-        return out.sort_values("near", ascending=False, kind="stable").groupby("asked", sort=False).head(RERANK)
-
-    found = left.groupBy("shelf", "eb", "qb").cogroup(right.groupBy("shelf", "eb", "qb")).applyInPandas(meet, "asked long, entry long, near double")
-    turn = Window.partitionBy("asked").orderBy(F.desc("near"), "entry")
-    found = found.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= RERANK).select("asked", "entry")
+        if not len(entries_) or not len(queries_):
+            return pd.DataFrame({"asked": [], "entry": [], "first": [], "near": []})
+        codes = np.frombuffer(b"".join(entries_["code"]), dtype=np.uint8).reshape(len(entries_), -1)
+        q, v = (_unit(np.array(x.tolist(), dtype=np.float64)) for x in (queries_["q"], entries_["v"]))
+        first = entries_["first"].to_numpy()
+        rows_, at, near = best_of_block(shared.value, q, queries_["cells"].tolist(), entries_["cell"].to_numpy(), codes, entries_["error"].to_numpy(), v, first, most)
+        return pd.DataFrame({"asked": queries_["asked"].to_numpy()[rows_], "entry": entries_["entry"].to_numpy()[at], "first": first[at], "near": near})
+
+    found = left.groupBy("shelf", "eb", "qb").cogroup(right.groupBy("shelf", "eb", "qb")).applyInPandas(meet, "asked long, entry long, first long, near double")
+    turn = Window.partitionBy("asked").orderBy(F.desc("near"), "first")
+    found = found.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most).select("asked", "entry")
     found = found.join(asked.select("asked", F.col("id").alias("query_id"), F.col("v").alias("q")), "asked")
     exact = found.join(entries, "entry").select("query_id", _scores("q", "v").alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     exact = exact.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "vec_id")
     return exact.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= TOP).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -187,6 +187,22 @@ def test_ann_recall_and_odd_vectors(spark):
     assert hits / total >= 0.95
 
 
+def test_ann_finds_neighbours_among_thousands_of_near_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=16) + 1e-3 * rng.normal(size=(4000, 16)), rng.normal(size=(1000, 16))])
+    rows = [(i, [float(e) for e in v]) for i, v in enumerate(x)]
+    got = collections.defaultdict(set)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4000, 50):
+        s = unit @ unit[q]
+        s[q] = -1
+        hits += len(got[q] & set(np.lexsort((np.arange(len(s)), -np.round(s, 12)))[:5].tolist()))
+    assert hits / 400 >= 0.95
+
+
 def luhn(s):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
