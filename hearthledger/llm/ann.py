@@ -7,7 +7,8 @@ sample found to hold ``RECALL`` of true neighbours; a cell's entries and queries
 There asymmetric distance tables rank entries.  The exact scores of the best ``RERANK`` of a cell only set a floor: all
 entries whose coded score, raised by the length of what their code leaves out, reaches the floor are scored exactly, so
 that codes lose no neighbour, however many entries are nearly equal.  A block returns its best ``TOP + 1`` of a query,
-times the most vectors that one id has.
+times the most vectors that one id has.  Queries that find fewer than ``TOP`` ids in their cells are asked again of
+``WIDER`` times as many cells, at last of all.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite
 components take no part; null ids neither; rows that repeat an id count once for each distinct vector; an empty
@@ -26,6 +27,7 @@ TOP, RERANK, RECALL = 5, 128, 0.985
 FIT_ROWS, MAX_CELLS, SUBSPACES, CODES = 20_000, 1024, 16, 256
 SHELF, ENTRIES, QUERIES_A_BLOCK = 16, 8192, 16_384
 QUERIES_AT_ONCE = 512
+WIDER = 4
 DIGITS = 12  # scores that agree to so many digits are ties
 
 
@@ -81,8 +83,8 @@ class Model:
         rest = x - self.cells[cell]
         return np.sqrt(sum(((rest[:, c] - b[codes[:, j]]) ** 2).sum(1) for j, (c, b) in enumerate(zip(self.cuts, self.books, strict=True))))
 
-    def probed(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-(x @ self.cells.T), axis=1, kind="stable")[:, : self.probes]
+    def probed(self, x: np.ndarray, probes: int) -> np.ndarray:
+        return np.argsort(-(x @ self.cells.T), axis=1, kind="stable")[:, :probes]
 
     def scores(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric inner products of queries (rows) with coded entries of a cell (columns)."""
@@ -178,34 +180,14 @@ def search(vectors: DataFrame, every: int = 50, key: str = "vec_id", vector: str
                 cell, codes = shared.value.encoded(x)
                 yield pd.DataFrame({"entry": pdf["entry"], "first": pdf["first"], "cell": cell, "code": [c.tobytes() for c in codes], "error": shared.value.errors(x, cell, codes), "v": pdf["v"]})
 
-    def probe(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            if len(pdf):
-                # One row for each shelf that a query probes, with its cells there.
-                cells = np.sort(shared.value.probed(_unit(np.array(pdf["v"].tolist()))), axis=1)
-                rows_, parts = [], []
-                for i, own in enumerate(cells):
-                    cut = np.split(own, np.flatnonzero(np.diff(own // SHELF)) + 1)
-                    rows_ += [i] * len(cut)
-                    parts += cut
-                yield pd.DataFrame({"asked": pdf["asked"].to_numpy()[rows_], "q": pdf["v"].to_numpy()[rows_], "shelf": [int(c[0]) // SHELF for c in parts], "cells": parts})
-
     kind = "float" if dict(vectors.dtypes)[vector] == "array<float>" else "double"  # vectors travel as they came
     small = F.col("v").cast(f"array<{kind}>").alias("v")
     index = written(entries.select("entry", F.element_at("ids", 1).alias("first"), small).mapInPandas(encode, f"entry long, first long, cell int, code binary, error double, v array<{kind}>"), "index")
     asked = written(rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"]).withColumn("asked", F.xxhash64("id", "v")), "asked")
-    shelf = F.floor(F.col("cell") / F.lit(SHELF)).cast("int")
-    probes = asked.select("asked", small).mapInPandas(probe, f"asked long, q array<{kind}>, shelf int, cells array<int>")
-    index = index.withColumn("shelf", shelf)
+    index = index.withColumn("shelf", F.floor(F.col("cell") / F.lit(SHELF)).cast("int"))
     sizes = {r["shelf"]: -(-r["n"] // ENTRIES) for r in index.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
-    wide = int(asked.count()) // QUERIES_A_BLOCK + 1
     blocks = spark.createDataFrame([(int(c), int(n)) for c, n in sizes.items()], "shelf int, blocks long")
     count_up = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    # A shelf is a few cells.  Its entries lie in blocks by hash, queries in blocks by hash; blocks meet once.
-    left = index.join(F.broadcast(blocks), "shelf").select("shelf", F.pmod(F.xxhash64("entry"), "blocks").alias("eb"), count_up(F.lit(wide).cast("long")).alias("qb"), "cell", "entry", "first", "code", "error", "v")
-    right = probes.join(F.broadcast(blocks), "shelf").select("shelf", count_up(F.col("blocks")).alias("eb"), F.pmod(F.xxhash64("asked"), F.lit(wide).cast("long")).alias("qb"), "cells", "asked", "q")
 
     def meet(entries_, queries_):
         import pandas as pd
@@ -218,11 +200,45 @@ def search(vectors: DataFrame, every: int = 50, key: str = "vec_id", vector: str
         rows_, at, near = best_of_block(shared.value, q, queries_["cells"].tolist(), entries_["cell"].to_numpy(), codes, entries_["error"].to_numpy(), v, first, most)
         return pd.DataFrame({"asked": queries_["asked"].to_numpy()[rows_], "entry": entries_["entry"].to_numpy()[at], "first": first[at], "near": near})
 
-    found = left.groupBy("shelf", "eb", "qb").cogroup(right.groupBy("shelf", "eb", "qb")).applyInPandas(meet, "asked long, entry long, first long, near double")
-    turn = Window.partitionBy("asked").orderBy(F.desc("near"), "first")
-    found = found.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most).select("asked", "entry")
-    found = found.join(asked.select("asked", F.col("id").alias("query_id"), F.col("v").alias("q")), "asked")
-    exact = found.join(entries, "entry").select("query_id", _scores("q", "v").alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    exact = exact.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= TOP).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def asked_of(queries: DataFrame, probes: int) -> DataFrame:
+        """The TOP nearest of queries among the entries of so many cells each."""
+
+        def probe(batches):
+            import pandas as pd
+
+            for pdf in batches:
+                if len(pdf):
+                    # One row for each shelf that a query probes, with its cells there.
+                    cells = np.sort(shared.value.probed(_unit(np.array(pdf["v"].tolist())), probes), axis=1)
+                    rows_, parts = [], []
+                    for i, own in enumerate(cells):
+                        cut = np.split(own, np.flatnonzero(np.diff(own // SHELF)) + 1)
+                        rows_ += [i] * len(cut)
+                        parts += cut
+                    yield pd.DataFrame({"asked": pdf["asked"].to_numpy()[rows_], "q": pdf["v"].to_numpy()[rows_], "shelf": [int(c[0]) // SHELF for c in parts], "cells": parts})
+
+        asks = queries.select("asked", small).mapInPandas(probe, f"asked long, q array<{kind}>, shelf int, cells array<int>")
+        wide = int(queries.count()) // QUERIES_A_BLOCK + 1
+        # A shelf is a few cells.  Its entries lie in blocks by hash, queries in blocks by hash; blocks meet once.
+        left = index.join(F.broadcast(blocks), "shelf").select("shelf", F.pmod(F.xxhash64("entry"), "blocks").alias("eb"), count_up(F.lit(wide).cast("long")).alias("qb"), "cell", "entry", "first", "code", "error", "v")
+        right = asks.join(F.broadcast(blocks), "shelf").select("shelf", count_up(F.col("blocks")).alias("eb"), F.pmod(F.xxhash64("asked"), F.lit(wide).cast("long")).alias("qb"), "cells", "asked", "q")
+        found = left.groupBy("shelf", "eb", "qb").cogroup(right.groupBy("shelf", "eb", "qb")).applyInPandas(meet, "asked long, entry long, first long, near double")
+        turn = Window.partitionBy("asked").orderBy(F.desc("near"), "first")
+        found = found.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most).select("asked", "entry")
+        found = found.join(queries.select("asked", F.col("id").alias("query_id"), F.col("v").alias("q")), "asked")
+        exact = found.join(entries, "entry").select("query_id", _scores("q", "v").alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        exact = exact.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        place = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DIGITS)), "vec_id")
+        return exact.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= TOP).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    probes, cells, out = model.probes, len(model.cells), None
+    while True:
+        near = written(asked_of(asked, probes), "near")
+        whole = near.where(F.col("rank") == TOP).select("query_id")
+        short = asked.join(whole, asked["id"] == whole["query_id"], "left_anti")
+        again = probes < cells and not short.isEmpty()
+        done = near.join(whole, "query_id", "left_semi").select(near.columns) if again else near
+        out = done if out is None else out.unionByName(done)
+        if not again:
+            return out
+        asked, probes = written(short, "short"), min(WIDER * probes, cells)

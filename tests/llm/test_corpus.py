@@ -203,6 +203,21 @@ def test_ann_finds_neighbours_among_thousands_of_near_equal_vectors(spark):
     assert hits / 400 >= 0.95
 
 
+def test_ann_gives_five_neighbours_beside_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann.Model, "_calibrated", lambda self, x: 1)
+    x = np.random.default_rng(9).normal(size=(120, 16))
+    rows = [(50 * i, [float(e) for e in v]) for i, v in enumerate(x)]
+    rows += [(1, [float(e) for e in x[0] + k]) for k in range(8)]  # one id, many vectors
+    got = collections.defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    assert sorted(got) == [50 * i for i in range(120)]
+    for q, found in got.items():
+        assert [r for r, _ in sorted(found)] == [1, 2, 3, 4, 5] and len({v for _, v in found} - {q}) == 5
+    few = ann.search(spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>")).collect()
+    assert collections.Counter(r.query_id for r in few) == {0: 3, 50: 3, 100: 3, 150: 3}
+
+
 def luhn(s):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
