@@ -2,13 +2,15 @@
 
 1. Each page is read into element nodes.  A node is named by its way from the root: tag and class names (digits
    aside) and the count of like siblings before it, so that pages of a host merge into one tree.
-2. What a page's markup says plainly is taken from it: elements such as nav, footer, aside and form, and names such
-   as "ad", "comments" or "cookie-notice", hold no main text; article, or else main, holds all of it.
-3. All other containers are weighed by the tree.  Over the m different pages of a host that hold a node, the entropy
-   of its presentations (sequences of children) and one less the mean entropy of its words give its importance;
-   a node is removed with its branch where that is below ``LEAST`` and at least ``PAGES`` different pages show it.
-   Sums of counts and of count * log(count) give these entropies, so Spark merges pages part by part; copies of one
-   page count once.
+2. Elements such as nav, footer, aside and form, and names such as "ad", "comments" or "cookie-notice", mark a branch.
+   Marks decide alone only on small branches: of ``LITTLE`` words at most, or of half of the page's words at most.
+   Hidden elements hold no text.
+3. All other nodes are weighed by the tree, marked or not.  Over the m different pages of a host that hold a node, the
+   entropy of its presentations (sequences of children) and one less the mean entropy of its words give its importance;
+   a node is removed with its branch where that is below ``LEAST`` (``LEAST_MARKED`` if it is marked) and at least
+   ``PAGES`` different pages show it.  Sums of counts and of count * log(count) give these entropies, so Spark merges
+   pages part by part; copies of one page count once.  Of what is left, article elements are taken alone where they
+   hold at least half of the words (of main, if there is one), or else main is.
 4. Removed nodes go to tasks as a table if they are few (``SENT`` rows), else they are joined by host and page.
 
 Defined cases: null html or text-free pages give an empty text; a null or odd url is a site of its own for each page;
@@ -21,13 +23,15 @@ from __future__ import annotations
 import html as entities
 import re
 from hashlib import blake2b
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
 
-GAMMA, LEAST, PAGES = 0.9, 0.3, 3
+GAMMA, LEAST, LEAST_MARKED, PAGES = 0.9, 0.3, 0.6, 3
+LITTLE = 30
 SENT = 50_000
 
 # Element names of the HTML standard.
@@ -37,10 +41,9 @@ BLOCK = frozenset(
     """address article aside blockquote body center caption dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
     h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul""".split()
 )
-CONTAINER = frozenset("div section ul ol dl table center fieldset details figure blockquote".split())
 NOISE_TAGS = frozenset("nav footer aside head menu dialog button search option label".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note status toolbar".split())
-# Parts of class names and ids that mark what isn't main text.
+# Parts of class names and ids that mark what often isn't main text.
 NOISE_NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright
     disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion
@@ -55,7 +58,6 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/>]|\Z))", re.I)
 CLOSE = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
 NAMES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-FORM, OTHER = 1, 2
 
 
 def _named_noise(names: str, article: bool) -> bool:
@@ -76,10 +78,10 @@ def _key(*parts) -> int:
 
 
 class _Node:
-    __slots__ = ("article", "children", "kin", "main", "name", "noise", "tag", "weighed")
+    __slots__ = ("article", "children", "hidden", "kin", "main", "marks", "name", "tag", "weighed")
 
-    def __init__(self, tag, name, noise, article, main, weighed):
-        self.tag, self.name, self.noise, self.article, self.main, self.weighed = tag, name, noise, article, main, weighed
+    def __init__(self, tag, name, hidden, marks, article, main, weighed):
+        self.tag, self.name, self.hidden, self.marks, self.article, self.main, self.weighed = tag, name, hidden, marks, article, main, weighed
         self.kin: dict[str, int] = {}  # like children so far
         self.children: list[str] = []
 
@@ -92,24 +94,45 @@ class Page:
         self.blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # text, in an article, in main, weighed nodes around it
         self.styles: list[tuple[int, _Node]] = []
         self._pieces: list[str] = []
-        self._stack = [_Node("", "", 0, False, False, ())]
+        self._forms: list[bool] = []  # for each marked branch: whether it is a form
+        self._parts: list[tuple[str, int, _Node]] = []  # text as it stands, number of its block, node
+        self._block = 0
+        self._stack = [_Node("", "", False, (), False, False, ())]
         self._read(source)
+        self._settle()
+
+    def _settle(self) -> None:
+        """Drop the small ones of the marked branches."""
+        total, words = 0, [0] * len(self._forms)
+        for text, _, node in self._parts:
+            n = len(text.split())
+            total += n
+            for m in node.marks:
+                words[m] += n
+        small = {m for m, n in enumerate(words) if n <= LITTLE or 2 * n <= total}
+        self.styles = [x for x in self.styles if small.isdisjoint(x[1].marks)]
+        left = [(text, (at, node.article, node.main, node.weighed)) for text, at, node in self._parts if small.isdisjoint(node.marks)]
+        for (_, article, main, weighed), parts in groupby(left, key=lambda x: x[1]):
+            text = " ".join("".join(x[0] for x in parts).split())
+            if text:
+                self.blocks.append((text, article, main, weighed))
 
-    def _flush(self) -> None:
+    def _flush(self, ends: bool = True) -> None:
+        """Ends a part; also its block, but for marked elements within a line."""
         if self._pieces:
-            text = " ".join("".join(self._pieces).split())
+            self._parts.append(("".join(self._pieces), self._block, self._stack[-1]))
             self._pieces = []
-            if text:
-                top = self._stack[-1]
-                self.blocks.append((text, top.article, top.main, top.weighed))
+        self._block += ends
 
     def _text(self, piece: str) -> None:
-        if piece and not self._stack[-1].noise:
+        if piece and not self._stack[-1].hidden:
             self._pieces.append(entities.unescape(piece) if "&" in piece else piece)
 
     def _pop_to(self, depth: int) -> None:
         if any(n.tag in BLOCK for n in self._stack[depth:]):
             self._flush()
+        elif self._stack[-1].marks != self._stack[depth - 1].marks:
+            self._flush(False)
         del self._stack[depth:]
 
     def _read(self, source: str) -> None:
@@ -197,36 +220,40 @@ class Page:
                     hidden = True
                 else:
                     hidden |= value.strip().lower() == "true"
-        noise = top.noise
+        hidden |= top.hidden
+        marks = top.marks
         if tag in ("article", "main"):
-            noise &= OTHER
-        if tag == "form":
-            noise |= FORM
-        if hidden or tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not top.article) or (names and self._names and tag not in ("html", "body") and _named_noise(names, top.article or tag in ("article", "main"))):
-            noise |= OTHER
-        article = top.article or (tag == "article" and not noise)
-        main = top.main or ((tag == "main" or role == "main") and not noise)
+            marks = tuple(m for m in marks if not self._forms[m])
+        marked = tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not top.article) or (names and self._names and tag not in ("html", "body") and _named_noise(names, top.article or tag in ("article", "main")))
+        if marked or tag == "form":
+            marks = (*marks, len(self._forms))
+            self._forms.append(not marked)
+            self._flush(False)
+        article = top.article or (tag == "article" and not hidden)
+        main = top.main or ((tag == "main" or role == "main") and not hidden)
         weighed, name = top.weighed, top.name
-        if not noise and (tag in BLOCK):
+        if not hidden and (tag in BLOCK or marked):
             sign = tag + re.sub(r"\d+", "#", names)
             nth = top.kin[sign] = top.kin.get(sign, 0) + 1
             name = f"{name}/{sign}.{nth}"
             top.children.append(sign)
-            if tag in CONTAINER or (tag not in ("html", "body", "article", "main", "hgroup", "header") and not article and not main):
-                weighed = (*weighed, _key(name))
-        node = _Node(tag, name, noise, article, main, weighed)
+            if tag not in ("html", "body"):
+                # The last bit tells whether the node is marked.
+                weighed = (*weighed, _key(name) & ~1 | (marked or tag == "form"))
+        node = _Node(tag, name, hidden, marks, article, main, weighed)
         stack.append(node)
         if weighed is not top.weighed:
             self.styles.append((weighed[-1], node))
 
     def kept(self, low=frozenset()) -> list[str]:
-        article = any(b[1] for b in self.blocks)
-        main = any(b[2] for b in self.blocks)
-        out = []
-        for text, in_article, in_main, around in self.blocks:
-            if (in_article if article else in_main or not main) and not (low and any(k in low for k in around)):
-                out.append(text)
-        return out
+        left = [b for b in self.blocks if not (low and any(k in low for k in b[3]))]
+        n = lambda blocks: sum(len(b[0].split()) for b in blocks)
+        articles, main = ([b for b in left if b[k]] for k in (1, 2))
+        if articles and 2 * n(articles) >= n(main or left):
+            left = articles
+        else:
+            left = main or left
+        return [b[0] for b in left]
 
     def features(self):
         """(node, kind, feature, count): kind 0 is the node's presentation, kind 1 a word of its branch."""
@@ -299,7 +326,7 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", source:
     d = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html")).withColumn("digest", F.xxhash64("html"))
     d = d.withColumn("host", _site(F.col("url"), F.col("digest")))
     features = d.select("host", "digest", "html").mapInArrow(_features, "host string, digest long, node long, kind int, feature long, n long")
-    low = written(importance(features).where((F.col("pages") >= PAGES) & (F.col("importance") < LEAST)).select("host", "node"), "low-nodes")
+    low = written(importance(features).where((F.col("pages") >= PAGES) & (F.col("importance") < F.when(F.col("node").bitwiseAND(F.lit(1)) == 1, LEAST_MARKED).otherwise(LEAST))).select("host", "node"), "low-nodes")
     few = low.limit(sent + 1).count() <= sent  # only how many there are
     table: dict[str, set[int]] = {}
     if few:

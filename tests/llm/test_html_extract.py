@@ -32,6 +32,26 @@ def test_names_of_what_is_not_main_text():
     assert H.page_of("<div class=ad>no</div><article></article>").kept() == []
 
 
+def test_names_do_not_hide_most_of_a_page():
+    body = " ".join(f"word{i}" for i in range(80))
+    for around in ("div class='two-column right-sidebar'", "aside", "form", "div id=widget"):
+        page = H.page_of(f"<{around}><div class=nav>Home About</div><div class=text><p>{body}</p></div></{around.split()[0]}>")
+        assert page.kept() == [body]
+    assert H.Page("<p>wo<span class=share>no</span>rd, <button>no</button>end</p>").kept() == ["word, end"]
+    teasers = "".join(f"<article>teaser {i}</article>" for i in range(5))
+    assert body in H.page_of(f"<div class=text><p>{body}</p></div><div>{teasers}</div>").kept()
+    assert H.page_of(f"<article><p>{body}</p></article><div>other words</div>").kept() == [body]
+
+
+def test_tree_weighs_marked_nodes_by_entropy(spark):
+    bodies = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    same = " ".join(f"same{j}" for j in range(60))
+    data = [(i, f"http://a.example/{i}", f"<div class=sidebar><div>{same}</div></div><div>{b}</div>") for i, b in enumerate(bodies)]
+    data += [(10 + i, f"http://b.example/{i}", f"<div class=right-sidebar><div>{b}</div></div>") for i, b in enumerate(bodies)]
+    got = rows(spark, data)
+    assert [got[i].text for i in range(6)] == bodies and [got[10 + i].text for i in range(6)] == bodies
+
+
 @pytest.mark.parametrize("sent", [H.SENT, -1])
 def test_tree_removes_what_a_site_repeats(spark, sent):
     bodies = [f"<div class=top>Welcome to our lovely site today</div><div class=text>{' '.join(f'w{i}x{j}' for j in range(30))}</div>" for i in range(6)]
