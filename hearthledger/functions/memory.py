@@ -1,7 +1,9 @@
-"""Column functions of the memory model; all stay inside Spark's generated code."""
+"""Column functions of the memory model; all but record_key stay inside Spark's generated code."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,47 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(units, F.lit(2166136261).cast("long"), step)
 
 
+def fnv1a_variants(texts: list[str], variants: int = 4) -> np.ndarray:
+    """FNV-1a of 32 bits over the code points of variant, NUL and text: a row for each text, a column for each variant.  All texts advance together."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    by = np.argsort(-lengths, kind="stable")
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    starts = (np.cumsum(lengths) - lengths)[by]
+    prime = np.uint32(16777619)
+    h = np.full((len(texts), variants), 2166136261, dtype=np.uint32)
+    h ^= np.array([ord(str(v)) for v in range(variants)], dtype=np.uint32)
+    h *= prime
+    h *= prime  # NUL changes no bit
+    longest = int(lengths.max(initial=0))
+    for t, live in enumerate(np.searchsorted(-lengths[by], -np.arange(longest), "left").tolist()):
+        now = h[:live]
+        now ^= codes[starts[:live] + t][:, None]
+        now *= prime
+    out = np.empty_like(h)
+    out[by] = h
+    return out
+
+
+def record_key(text: Column) -> Column:
+    """128 bits as 32 hex digits: FNV-1a of four variants over the NFKC form; null stays null."""
+
+    @F.pandas_udf("string")
+    def key(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        known = texts.dropna()
+        plain = [unicodedata.normalize("NFKC", t) for t in known]
+        sizes = np.cumsum([len(t) for t in plain])
+        made, at = [], 0
+        while at < len(plain):  # about 4 million code points at once
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (4 << 20), "right")))
+            made += ["".join(f"{x:08x}" for x in row) for row in fnv1a_variants(plain[at:end]).tolist()]
+            at = end
+        return pd.Series(made, index=known.index, dtype=object).reindex(texts.index, fill_value=None)
+
+    return key(text)
+
+
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthledger import ship
 from hearthledger.functions import memory as M
 from hearthledger.operators import capture, graph, ledger, owners, retrieval, rollups, temporal
 from hearthledger.sources.adapters import FACTS, KINDS, MODES, NOW, PRIVACY, facts, rank_of, view, view_sql
@@ -558,6 +559,21 @@ def stable_record_key(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", "n_name", M.fnv1a(c("n_name")).alias("hash"))
 
 
+FNV = "(xor({h}, {u}) * 16777619) % 4294967296"
+# DuckDB has no NFKC; its NFC agrees with it on texts without compatibility characters.
+VARIANTS = ", ".join(
+    f"printf('%08x', list_reduce(list_prepend({h}::bigint, list_transform(string_split(nfc_normalize(content), ''), lambda x: unicode(x)::bigint)), lambda h, u: {FNV.format(h='h', u='u')}))"
+    for h in M.fnv1a_variants([""])[0].tolist()
+)
+
+
+@query(f"{FACTS} select id, case when content = '' then '{''.join(f'{h:08x}' for h in M.fnv1a_variants([''])[0].tolist())}' when content is not null then concat({VARIANTS}) end as record_key from facts")
+def fact_record_key(spark, sf_dir):
+    """The reference's 128-bit record key of every fact's content."""
+    ship(spark)
+    return view(spark, sf_dir, "facts").select("id", M.record_key(c("content")).alias("record_key"))
+
+
 @query(f"{view_sql('traces')} select fact_id, count(*) as attempts, count(distinct owner_id) as owners, max(strength) as strength, max(clarity) as clarity, array_to_string(list_sort(list(distinct privacy)), ',') as privacies from traces group by fact_id")
 def recall_audit_pivot(spark, sf_dir):
     return view(spark, sf_dir, "traces").groupBy("fact_id").agg(

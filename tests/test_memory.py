@@ -22,6 +22,25 @@ def test_keys_and_hashes(spark):
     assert one(spark, M.fnv1a(F.col("t")), t="abc") == 0x1A47E90B
 
 
+def test_record_keys_have_128_bits_and_variants_of_the_nfkc_form(spark):
+    import unicodedata
+
+    def key(text):
+        parts = []
+        for variant in range(4):
+            h = 2166136261
+            for ch in f"{variant}\0{unicodedata.normalize('NFKC', text)}":
+                h = (h ^ ord(ch)) * 16777619 % 2**32
+            parts.append(f"{h:08x}")
+        return "".join(parts)
+
+    texts = ["abc", "", None, "ﬁn", "fin", "Ａ　星图", "e\u0301", "😀 x", "costarring", "liquid"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r[0]: r[1] for r in df.select("id", M.record_key(F.col("t"))).collect()}
+    assert got == {i: None if t is None else key(t) for i, t in enumerate(texts)}
+    assert got[3] == got[4] and got[8] != got[9]  # the last two share 32 bits of plain FNV-1a
+
+
 def test_strength_and_levels(spark):
     s = M.effective_strength(F.lit(80.0), F.lit(100.0), F.lit(0.5), F.lit(2), F.lit(0), now=int(M.MONTH))
     assert one(spark, s) == pytest.approx(80 * math.exp(-1) * 1.08 * 1.075)
