@@ -91,7 +91,7 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, hence invertible modulo 2**64
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
-_BLOCK = 1 << 21
+_BLOCK = 1 << 18  # bytes hashed at once; tables of powers are that long
 _POWERS: dict[int, np.ndarray] = {}
 
 

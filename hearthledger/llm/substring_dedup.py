@@ -6,7 +6,7 @@ windows whose slots all count two or more contain every repeated one.  Second pa
 grouped exactly by 96-bit keys.  Windows already seen in a smaller document of the same batch are settled there, so
 a frequent window sends one row per batch, not one per occurrence.
 
-The sketch is sized from the corpus and bounded by ``MAX_SLOTS`` (its merged bits, at most 128 MB, are broadcast).
+The sketch is sized from the corpus and bounded by ``MAX_SLOTS`` (its merged bits, at most 64 MB, are broadcast).
 A corpus beyond that only passes more windows to the exact pass.
 
 Defined cases: null and empty texts have no words; texts shorter than a window keep all words; rows that repeat an
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from .common import arrow_bytes, ids_of, keyed, merged, mix64, release, slices, window_hashes, word_hashes, word_spans, words_of, written
 
 WINDOW = 13
-MIN_SLOTS, MAX_SLOTS = 1 << 20, 1 << 30
+MIN_SLOTS, MAX_SLOTS = 1 << 20, 1 << 29
 BLOCK = 1 << 20  # slots that are merged together
 FAN = 64  # sketches of a block that meet in one task
+HELD = 4 << 20  # slots that a task holds before it gives them away as a sketch
 
 
 def _windows(batch, column: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,29 +67,29 @@ def _sketch(slots: int):
         held: list[np.ndarray] = []
 
         def flush():
-            at = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
+            at = np.concatenate(held) if held else np.zeros(0, np.uint32)
             held.clear()
-            fresh = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
-            first = np.flatnonzero(fresh)
-            twice = np.diff(np.r_[first, len(at)]) > 1
-            own = at[first].astype(np.int64)
-            edges = np.searchsorted(own, np.arange(0, slots + 1, BLOCK))
+            at.sort()
+            like = at[1:] == at[:-1]
+            own = at[np.r_[True, ~like]] if len(at) else at
+            twice = np.r_[like, False][np.r_[True, ~like]] if len(at) else np.zeros(0, bool)
+            edges = np.searchsorted(own, np.arange(0, slots + 1, BLOCK, dtype=np.uint32))
             blocks, once_, twice_ = [], [], []
             for b in range(len(edges) - 1):
                 lo, hi = edges[b], edges[b + 1]
                 if hi > lo:
-                    x, t = own[lo:hi] - b * BLOCK, twice[lo:hi]
+                    x, t = own[lo:hi] - np.uint32(b * BLOCK), twice[lo:hi]
                     blocks.append(b)
                     once_.append(_packed(x[~t]))
                     twice_.append(_packed(x[t]))
             return pa.RecordBatch.from_arrays([pa.array([part] * len(blocks), pa.int64()), pa.array(blocks, pa.int32()), pa.array(once_, pa.binary()), pa.array(twice_, pa.binary())], names=["part", "block", "once", "twice"])
 
         n = 0
-        for batch in slices(batches, 0, 3 << 20):
+        for batch in slices(batches, 0, 2 << 20):
             for x in _slots(_windows(batch, 0)[0], slots):
                 held.append(x.astype(np.uint32))
                 n += len(x)
-            if n > 12 << 20:
+            if n > HELD:
                 yield flush()
                 n = 0
         yield flush()
