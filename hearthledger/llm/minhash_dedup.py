@@ -29,6 +29,7 @@ from .common import arrow_bytes, mix64, slices, window_hashes, word_hashes, word
 BANDS, ROWS = 32, 5
 UNIVERSE = 1 << 21
 FAMILY_SHINGLES = 1 << 21
+HUB, HUBS = 5_000, 50_000
 NEAR = 0.6  # signatures that agree on less are not compared exactly
 _TABLE: list[np.ndarray] = []
 
@@ -139,24 +140,34 @@ def _contracted(batches):
         yield give()
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether the edges are stars: each node has one edge down at most, and no node has edges on both sides."""
+def _state(edges: DataFrame) -> tuple[bool, int]:
+    """Whether the edges are stars (each node has one edge down at most, and none has edges on both sides), and their number."""
     ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
     each = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-    return not each.agg(F.max((F.col("down") + F.col("up") > 1).cast("int"))).collect()[0][0]
+    r = each.agg(F.max((F.col("down") + F.col("up") > 1).cast("int")).alias("open"), F.sum("down").alias("n")).collect()[0]
+    return not r["open"], r["n"] or 0
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over `edges` (a, b); every node of an edge is listed.
 
     Tasks first turn their own edges into stars.  Each round then moves all edges to the smaller neighbour of their
-    ends (a large and a small star), so long chains shrink geometrically and no node gathers its neighbours.
+    ends (a large and a small star), so long chains shrink geometrically.  Nodes with more than ``HUB`` neighbours, and
+    with more than one ``HUBS``-th of all ends, are joined as a table that is sent to all tasks (it has at most
+    ``2 * HUBS`` rows), so that no task gets all edges of such a node.
     """
-    now = written(edges.select("a", "b").where("a <> b").mapInArrow(_contracted, "a long, b long"), "edges")
-    while not _settled(now):
+    now = written(edges.select("a", "b").where("a <> b").mapInArrow(_contracted, "a long, b long").distinct(), "edges")
+    while True:
+        stars_, n = _state(now)
+        if stars_:
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        hub = F.col("n") > max(HUB, n // HUBS)
+        hubs = least.where(hub).select("a", "m")
+        up = both.where("b > a")
+        moved = up.join(F.broadcast(hubs), "a").unionByName(up.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(least.where(~hub).select("a", "m"), "a"))
+        large = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(down.select("a", F.col("m").alias("b")))
         now = written(small.mapInArrow(_contracted, "a long, b long").distinct(), "edges")
@@ -199,7 +210,8 @@ def components(docs: DataFrame, width: int = 4, percent: int = 80, key: str = "d
     # Bands: each entry is linked with the smallest member of its band.
     entries = written(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")), "bands")
     heads = entries.groupBy("band").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("band", "head")
-    star = entries.join(heads, "band").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    star = entries.join(heads, "band").groupBy("rep").agg(F.array_distinct(F.collect_list("head")).alias("heads"))  # BANDS of a document at most
+    star = star.select(F.explode(F.array_append("heads", F.col("rep"))).alias("a"), F.array_min("heads").alias("b")).distinct()
     family = written(connected(star), "families")
     sizes = reps.select(F.col("doc_id").alias("node"), "n_shingles").join(family, "node").groupBy("root").agg(F.sum("n_shingles").alias("all"))
     cut = sizes.select("root", F.ceil(F.col("all") * 2 / F.lit(FAMILY_SHINGLES)).alias("cut"))

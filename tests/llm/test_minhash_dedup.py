@@ -68,5 +68,47 @@ def test_connected_joins_long_chains(spark):
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
 
 
+@pytest.mark.parametrize("hub", [M.HUB, 3])
+def test_connected_joins_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(M, "HUB", hub)
+    rng = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(500, int(b)) for b in range(600, 900)] + [(501, int(b)) for b in range(880, 1200)]
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = dict(tuple(r) for r in M.connected(spark.createDataFrame(edges, "a long, b long").repartition(16)).collect())
+    assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
+
+
+def test_links_of_thousands_of_documents(spark):
+    rng = np.random.default_rng(12)
+    data = []
+    for k in range(900):
+        words = [f"w{x}" for x in rng.integers(0, 4000, rng.integers(25, 120))]
+        for j in range(int(rng.integers(1, 5))):
+            copy = list(words)
+            for _ in range(int(rng.integers(0, max(1, len(words) // 28)))):
+                copy[rng.integers(len(copy))] = f"n{rng.integers(10_000)}"
+            data.append((len(data), " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in M.components(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    sets = {d: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for d, w in ((d, t.split()) for d, t in data)}
+    by, links = {}, 0
+    for d, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(d)
+    for a, b in {(a, b) for ds in by.values() for i, b in enumerate(ds) for a in ds[:i]}:
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            links += 1
+            assert got[a] == got[b]
+    assert len(data) > 2000 and links > 500
+
+
 def test_empty_table(spark):
     assert M.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
