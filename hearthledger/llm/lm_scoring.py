@@ -7,14 +7,15 @@
    class's counts.  The last class holds words outside the table and the unknown word, whose share is that of words
    met once.  The probabilities of all known words and the unknown one add up to 1.
 3. Every task trains on its share of all training documents, in windows of ``STEPS`` tokens whose end state starts
-   the next window.  Spark averages the tasks' weights, block by block; a first round over an eighth of the documents
+   the next window.  Spark averages the tasks' weights, block by block; a first round over a sixteenth of the documents
    gives the start of the round over all.
 4. Scoring runs whole documents in lanes; the state is carried from window to window and cleared at a document's
    start.  Counts of words outside the table are joined by Spark.
 
 Defined cases: null and empty texts have one token, the end; rows that repeat an id are scored one by one; a null id
 is a training document; with no training documents all words are unknown; an empty table gives an empty table; extra
-columns are ignored.  Words are told apart by 64-bit hashes.
+columns are ignored.  Words are told apart by 64-bit hashes.  Very long texts are scored whole, their states carried
+from window to window.  Words never met in training score as the one unknown word, and n_known leaves them out.
 """
 
 from __future__ import annotations
@@ -30,19 +31,22 @@ from .common import arrow_bytes, release, slices, word_hashes, word_spans, writt
 
 HELD_OUT = (7, 2)  # crc32(doc_id as text) modulo, remainder; fixed by the contract
 TABLE = 1 << 18
-HEAD, HEAD_CLASSES, TAIL_CLASSES = 1024, 32, 15
+HEAD, HEAD_CLASSES, TAIL_CLASSES = 4096, 48, 15
 WIDTH = 16
 LANES, STEPS = 1024, 16
+TURNS = 100  # optimiser steps that a share of tokens gives, at least
 SCORE_STEPS = 32
 MOST = np.float32(60)  # logits stay below, so that exponentials are finite
-RATE = 0.01
+RATE = 0.003
 BLOCKS = 64
 END = np.uint64(0x51ED270B0A1F39C1)  # stands for the end of a text
+TOP_BITS = np.uint64(46)  # hashes are looked up by what is left of them beyond these bits
 
 
 class Vocabulary(NamedTuple):
     hashes: np.ndarray  # of the table, ascending
-    ids: np.ndarray  # of these, by frequency; 0 is the end
+    entry: np.ndarray  # where the hashes of each upper part start
+    ids: np.ndarray  # of the hashes, by frequency; 0 is the end
     counts: np.ndarray  # by id
     classes: np.ndarray  # by id
     shares: np.ndarray  # by id: log of the share of the class's counts, 0 for head words
@@ -80,7 +84,8 @@ def vocabulary(hashes: np.ndarray, counts: np.ndarray, ends: int, tokens: int, d
     used[-1] = True
     prior = np.where(used, np.log((mass + 0.5) / (mass + 0.5)[used].sum()), -30.0)
     by = np.argsort(hashes)
-    return Vocabulary(hashes[by], by.astype(np.int32), counts, classes.astype(np.int32), shares.astype(np.float32), bounds, prior.astype(np.float32), tokens, distinct, rare, once)
+    entry = np.searchsorted(hashes[by] >> TOP_BITS, np.arange((1 << (64 - int(TOP_BITS))) + 1, dtype=np.uint64)).astype(np.int32)
+    return Vocabulary(hashes[by], entry, by.astype(np.int32), counts, classes.astype(np.int32), shares.astype(np.float32), bounds, prior.astype(np.float32), tokens, distinct, rare, once)
 
 
 # ---------------------------------------------------------------- tokens
@@ -101,10 +106,8 @@ def _tokens(batch, column: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _number(v: Vocabulary, tokens: np.ndarray) -> np.ndarray:
     """Ids of tokens; -1 outside the table.  The first bits of a hash lead to the few entries that share them."""
-    bits = np.uint64(44)
-    entry = np.searchsorted(v.hashes >> bits, np.arange((1 << 20) + 1, dtype=np.uint64)).astype(np.int32)
-    top = (tokens >> bits).astype(np.int32)
-    at, stop = entry[top], entry[top + 1]
+    top = (tokens >> TOP_BITS).astype(np.int32)
+    at, stop = v.entry[top], v.entry[top + 1]
     out = np.full(len(tokens), -1, dtype=np.int32)
     left = np.flatnonzero(at < stop)
     while len(left):
@@ -119,7 +122,7 @@ def _number(v: Vocabulary, tokens: np.ndarray) -> np.ndarray:
 def _counted(batches):
     import pyarrow as pa
 
-    for batch in slices(batches, 0, 16 << 20):
+    for batch in slices(batches, 0, 8 << 20):
         words, n = np.unique(_tokens(batch, 0)[0], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
@@ -160,6 +163,7 @@ class Network:
         self.input_of = np.r_[self.input_of, np.int32(HEAD + HEAD_CLASSES + TAIL_CLASSES)].astype(np.int16)  # the last at -1
         self.class_of = np.r_[v.classes, np.int32(HEAD_CLASSES + TAIL_CLASSES)].astype(np.int8)
         self.share_of = np.r_[v.shares, np.float32(0)]
+        self.entered: np.ndarray | None = None  # what each input adds to the gates, once weights rest
 
     def _view(self, flat: np.ndarray, sizes: list[int]) -> None:
         self.flat, at = flat, 0
@@ -174,7 +178,7 @@ class Network:
         states = np.empty((steps + 1, lanes, w), dtype=np.float32)
         states[0] = h
         held = [np.empty((steps, lanes, w), dtype=np.float32) for _ in range(4)] if keep else None
-        before = (self.inputs @ self.enter + self.gates)[x]
+        before = self.entered[x] if self.entered is not None else (self.inputs @ self.enter + self.gates)[x]
         gate = np.empty((lanes, 2 * w), dtype=np.float32)
         for t in range(steps):
             last = states[t]
@@ -212,27 +216,34 @@ class Network:
             dh = logits @ self.classes.T
             grad["classes"] += hs.T @ logits
             grad["class_bias"] += logits.sum(0)
-        by = np.argsort(of, kind="stable")
+        # Within classes: rows go class by class, as slices of one sorted copy.
+        by = np.argsort(of.astype(np.uint8), kind="stable")
         cut = np.searchsorted(of[by], np.arange(HEAD_CLASSES + 1))
+        by = by[: cut[-1]]
+        h_by, y_by, more = hs[by], y[by], np.zeros(len(by), dtype=np.float32)
+        d_by = np.zeros_like(h_by) if grad is not None else None
         for c in range(HEAD_CLASSES):
             lo, hi = self.v.bounds[c], self.v.bounds[c + 1]
             if cut[c] == cut[c + 1] or hi - lo < 2:
                 continue
-            rows = by[cut[c] : cut[c + 1]]
-            h, which, few = hs[rows], y[rows] - lo, np.arange(len(rows))
+            part = slice(cut[c], cut[c + 1])
+            h, which, few = h_by[part], y_by[part] - lo, each[: cut[c + 1] - cut[c]]
             inner = h @ self.words[lo:hi].T
             inner += self.word_bias[lo:hi]
             np.minimum(inner, MOST, out=inner)
             chosen = inner[few, which]
             np.exp(inner, out=inner)
             total = inner.sum(1)
-            logp[rows] += chosen - np.log(total)
+            np.subtract(chosen, np.log(total), out=more[part])
             if grad is not None:
                 inner /= total[:, None]
                 inner[few, which] -= 1
-                dh[rows] += inner @ self.words[lo:hi]
+                np.matmul(inner, self.words[lo:hi], out=d_by[part])
                 grad["words"][lo:hi] += inner.T @ h
                 grad["word_bias"][lo:hi] += inner.sum(0)
+        logp[by] += more
+        if grad is not None:
+            dh[by] += d_by
         return (logp, dh) if grad is not None else logp
 
     def gradient(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray):
@@ -279,21 +290,31 @@ class Network:
         return flat, states[-1]
 
 
-def train(net: Network, ids: np.ndarray) -> None:
+class Moments:
+    """Adam's running moments of a task's gradients."""
+
+    def __init__(self, net: Network):
+        self.first, self.second, self.step = np.zeros_like(net.flat), np.zeros_like(net.flat), 0
+
+    def move(self, net: Network, g: np.ndarray) -> None:
+        self.step += 1
+        self.first += 0.1 * (g - self.first)
+        self.second += 0.01 * (g * g - self.second)
+        net.flat -= (RATE / (1 - 0.9**self.step)) * self.first / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-6)
+
+
+def train(net: Network, ids: np.ndarray, moments: Moments) -> None:
     """One pass over a stream of tokens (-1: outside the table; 0 ends a text), with Adam steps."""
-    lanes = int(np.clip(len(ids) // (STEPS * 200), 1, LANES))
+    lanes = int(np.clip(len(ids) // (STEPS * TURNS), 1, LANES))
     length = -(-len(ids) // lanes)
     y = np.r_[ids, np.zeros(lanes * length - len(ids), ids.dtype)].reshape(lanes, length).T
     x = np.r_[np.int32(0), y.T.reshape(-1)[:-1]].reshape(lanes, length).T
     fresh = x == 0
     h = np.zeros((lanes, WIDTH), dtype=np.float32)
-    first, second = np.zeros_like(net.flat), np.zeros_like(net.flat)
-    for step, t in enumerate(range(0, length, STEPS), 1):
+    for t in range(0, length, STEPS):
         part = slice(t, t + STEPS)
         g, h = net.gradient(net.input_of[x[part]], y[part], fresh[part], h)
-        first += 0.1 * (g - first)
-        second += 0.01 * (g * g - second)
-        net.flat -= (RATE / (1 - 0.9**step)) * first / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
+        moments.move(net, g)
 
 
 def score(net: Network, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -316,6 +337,7 @@ def score(net: Network, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     offset = np.r_[0, np.cumsum(sizes)[:-1]]
     logp = np.zeros(len(stream), dtype=np.float64)
     h = np.zeros((lanes, WIDTH), dtype=np.float32)
+    net.entered = net.inputs @ net.enter + net.gates
     for t in range(0, int(sizes[0]), SCORE_STEPS):
         live = int(np.searchsorted(-sizes, -t, "left"))
         at = offset[:live] + t + np.arange(SCORE_STEPS)[:, None]
@@ -331,12 +353,12 @@ def score(net: Network, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- on Spark
-def _share(batches, column: int = 0, limit: int = 64 << 20):
+def _share(batches, column: int = 0, limit: int = 12 << 20):
     """Tables of up to about `limit` bytes of text, so that many texts run side by side."""
     import pyarrow as pa
 
     held, size = [], 0
-    for batch in slices(batches, column, 16 << 20):
+    for batch in slices(batches, column, 4 << 20):
         held.append(batch)
         size += batch.column(column).nbytes
         if size >= limit:
@@ -369,9 +391,10 @@ def fitted(learn: DataFrame, held, start: np.ndarray | None) -> np.ndarray:
 
     def trained(batches):
         net, seen = Network(held.value, given.value), 0
+        moments = Moments(net)
         for t in _share(batches):
             ids, _, _ = _numbered(held.value, t, 0)
-            train(net, ids)
+            train(net, ids, moments)
             seen += len(ids)
         if seen:
             parts = np.array_split(net.flat, BLOCKS)
@@ -415,7 +438,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     top = counts.where((F.col("n") > 1) & (F.col("word") != end)).orderBy(F.desc("n"), "word").limit(TABLE).toArrow()
     v = vocabulary(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy(), facts["ends"], facts["tokens"], facts["distinct"], facts["once"])
     held = spark.sparkContext.broadcast(v)
-    weights = fitted(learn.where(F.col("check").isNull() | (F.shiftrightunsigned("check", 8) % 8 == 0)).select("text"), held, None)
+    weights = fitted(learn.where(F.col("check").isNull() | (F.shiftrightunsigned("check", 8) % 16 == 0)).select("text"), held, None)
     weights = fitted(learn.select("text"), held, weights)
     release(spark)
     given = spark.sparkContext.broadcast(weights)
