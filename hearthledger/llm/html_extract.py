@@ -5,16 +5,19 @@
 2. Elements such as nav, footer, aside and form, and names such as "ad", "comments" or "cookie-notice", mark a branch.
    Marks decide alone only on small branches: of ``LITTLE`` words at most, or of half of the page's words at most.
    Hidden elements hold no text.
-3. All other nodes are weighed by the tree, marked or not.  Over the m different pages of a host that hold a node, the
-   entropy of its presentations (sequences of children) and one less the mean entropy of its words give its importance;
-   a node is removed with its branch where that is below ``LEAST`` (``LEAST_MARKED`` if it is marked) and at least
-   ``PAGES`` different pages show it.  Sums of counts and of count * log(count) give these entropies, so Spark merges
-   pages part by part; copies of one page count once.  Of what is left, article elements are taken alone where they
-   hold at least half of the words (of main, if there is one), or else main is.
-4. Removed nodes go to tasks as a table if they are few (``SENT`` rows), else they are joined by host and page.
+3. All other nodes are weighed by the tree, marked or not.  Over the m different pages of a host that hold a node, its
+   presentation is worth the entropy of its sequences of children.  The content of a node's own text is worth one less
+   the mean entropy of its features (words of short blocks, sentences of long ones) over pages; a branch's content is
+   the mean of its nodes', by words.  Importance blends both; a node is removed with its branch where it is below
+   ``LEAST`` (``LEAST_MARKED`` if it is marked) and at least ``PAGES`` different pages show it.  Sums of counts and of
+   count * log(count) give these entropies, so Spark merges pages part by part; copies of one page count once.  Of what
+   is left, article elements are taken alone where they hold at least half of the words (of main, if there is one), or
+   else main is.
+4. Removed nodes go to tasks as a table if they are few (``SENT`` rows), else they are joined by page.  Nodes carry
+   64-bit keys of host and way.
 
 Defined cases: null html or text-free pages give an empty text; a null or odd url is a site of its own for each page;
-repeated rows are extracted one by one; an empty table gives an empty table; extra columns are ignored.  Text without
+repeated rows, also of one id, are extracted one by one; very long pages are read whole; an empty table gives an empty table; extra columns are ignored.  Text without
 markup is one block.  White space is what str.split takes for it.
 """
 
@@ -22,9 +25,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from hashlib import blake2b
 from itertools import groupby
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ from .common import slices, written
 
 GAMMA, LEAST, LEAST_MARKED, PAGES = 0.9, 0.3, 0.6, 3
 LITTLE = 30
+SENTENCE = re.compile(r"(?<=[.!?\u3002\uff01\uff1f])\s*")
 SENT = 50_000
 
 # Element names of the HTML standard.
@@ -73,8 +77,9 @@ def _named_noise(names: str, article: bool) -> bool:
     return False
 
 
-def _key(*parts) -> int:
-    return int.from_bytes(blake2b("\x1f".join(map(str, parts)).encode(), digest_size=8).digest(), "big", signed=True)
+def _key(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
 
 
 class _Node:
@@ -89,7 +94,7 @@ class _Node:
 class Page:
     """Blocks of a page, and the nodes that the tree has to weigh."""
 
-    def __init__(self, source: str, names: bool = True):
+    def __init__(self, source: str, names: bool = True, site: str = ""):
         self._names = names
         self.blocks: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # text, in an article, in main, weighed nodes around it
         self.styles: list[tuple[int, _Node]] = []
@@ -97,7 +102,7 @@ class Page:
         self._forms: list[bool] = []  # for each marked branch: whether it is a form
         self._parts: list[tuple[str, int, _Node]] = []  # text as it stands, number of its block, node
         self._block = 0
-        self._stack = [_Node("", "", False, (), False, False, ())]
+        self._stack = [_Node("", site, False, (), False, False, ())]
         self._read(source)
         self._settle()
 
@@ -152,7 +157,7 @@ class Page:
                 continue
             attributes = m[3] if m[2] else m[6]
             if tag in RAW:
-                if not attributes.endswith("/"):
+                if tag != "svg" or not attributes.endswith("/"):  # only foreign elements may close themselves
                     shut = CLOSE[tag].search(source, at)
                     if shut is None:
                         at = size
@@ -256,24 +261,26 @@ class Page:
         return [b[0] for b in left]
 
     def features(self):
-        """(node, kind, feature, count): kind 0 is the node's presentation, kind 1 a word of its branch."""
-        for key, node in self.styles:
-            short = [x for i, x in enumerate(node.children) if i == 0 or node.children[i - 1] != x]
-            yield key, 0, _key(*short), 1
-        words: dict[tuple[int, str], int] = {}
+        """(node, ways, features, counts) of each node: ways are the nodes from the top down to this one; the first
+        feature is its presentation (even), all others are content of its own text (odd)."""
+        said: dict[int, dict[str, int]] = {}
         for text, _, _, around in self.blocks:
-            for key in around:
-                for w in text.split():
-                    words[key, w] = words.get((key, w), 0) + 1
-        for (key, w), n in words.items():
-            yield key, 1, _key(w), n
+            if around:
+                own, words = said.setdefault(around[-1], {}), text.split()
+                for f in words if len(words) <= LITTLE else SENTENCE.split(text):
+                    if f:
+                        own[f] = own.get(f, 0) + 1
+        for way, node in self.styles:
+            short = [x for i, x in enumerate(node.children) if i == 0 or node.children[i - 1] != x]
+            own = said.get(way, {})
+            yield way, node.weighed, [_key("\x1f".join(short)) & ~1, *(_key(f) | 1 for f in own)], [1, *own.values()]
 
 
-def page_of(source: str) -> Page:
+def page_of(source: str, site: str = "") -> Page:
     """A page; where names alone hide all of its article or main element, these are read regardless of names."""
-    page = Page(source)
+    page = Page(source, site=site)
     if not page.blocks:
-        bare = Page(source, names=False)
+        bare = Page(source, names=False, site=site)
         if any(b[1] or b[2] for b in bare.blocks):
             return bare
     return page
@@ -287,35 +294,59 @@ def _site(url, digest):
 def _features(batches):
     import pyarrow as pa
 
-    for batch in slices(batches, 2, 4 << 20):
+    kinds = {"digest": pa.int64(), "node": pa.int64(), "ways": pa.list_(pa.int64()), "features": pa.list_(pa.int64()), "counts": pa.list_(pa.int32())}
+
+    def give(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    for batch in slices(batches, 2, 1 << 20):
         done, out = set(), []
-        for host, digest, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if source and (host, digest) not in done:
-                done.add((host, digest))
-                out += [(host, digest, *row) for row in page_of(source).features()]
-        for i in range(0, len(out), 50_000):
-            part = list(zip(*out[i : i + 50_000], strict=True))
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=["host", "digest", "node", "kind", "feature", "n"])
+        for site, digest, source in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if source and (site, digest) not in done:
+                done.add((site, digest))
+                out += [(digest, *row) for row in page_of(source, site).features()]
+                if len(out) > 5_000:
+                    yield give(out)
+                    out = []
+        if out:
+            yield give(out)
+
+
+FEATURES = "digest long, node long, ways array<long>, features array<long>, counts array<int>"
 
 
 def importance(features: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of all weighed nodes of all hosts."""
-    once = features.groupBy("host", "node", "kind", "feature", "digest").agg(F.max("n").alias("n"))
-    each = once.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    style, word = F.col("kind") == 0, F.col("kind") == 1
-    nodes = each.groupBy("host", "node").agg(
+    """(node, pages, importance) of all weighed nodes of all hosts."""
+    once = features.groupBy("node", "digest").agg(*(F.first(c).alias(c) for c in ("ways", "features", "counts")))
+    once = once.select("node", "ways", F.explode(F.arrays_zip("features", "counts")).alias("x")).select("node", F.col("x.features").alias("feature"), F.col("x.counts").alias("n"), "ways")
+    ways = F.first(F.when(F.col("feature") % 2 == 0, F.col("ways")), ignorenulls=True).alias("ways")
+    each = once.groupBy("node", "feature").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("s"), ways)
+    style, said = F.col("feature") % 2 == 0, F.col("feature") % 2 != 0
+    nodes = each.groupBy("node").agg(
         F.sum(F.when(style, F.col("t"))).alias("pages"),
         F.sum(F.when(style, F.col("t") * F.log("t"))).alias("style_log"),
         F.count(F.when(style, 1)).alias("styles"),
-        F.sum(F.when(word, F.log("t") - F.col("s") / F.col("t"))).alias("spread"),
-        F.count(F.when(word, 1)).alias("words"),
+        F.sum(F.when(said, F.log("t") - F.col("s") / F.col("t"))).alias("spread"),
+        F.count(F.when(said, 1)).alias("features"),
+        F.sum(F.when(said, F.col("t"))).alias("amount"),
+        F.first("ways", ignorenulls=True).alias("ways"),
     )
+    nodes = written(nodes, "nodes")
     m = F.log("pages")
-    shown = (m - F.col("style_log") / F.col("pages")) / m
-    said = F.when(F.col("words") > 0, 1 - F.coalesce("spread", F.lit(0.0)) / (F.col("words") * m)).otherwise(F.lit(0.0))
-    weight = F.pow(F.lit(GAMMA), F.col("styles"))
-    return nodes.select("host", "node", "pages", F.when(F.col("pages") <= 1, F.lit(1.0)).otherwise((1 - weight) * shown + weight * said).alias("importance"))
+    one = F.col("pages") <= 1
+    nodes = nodes.withColumns({"shown": F.when(one, 1.0).otherwise((m - F.col("style_log") / F.col("pages")) / m), "said": F.when(one, 1.0).otherwise(1 - F.col("spread") / (F.col("features") * m))})
+    # A node's content counts for all branches that hold it.
+    held = nodes.where("amount > 0").select(F.explode("ways").alias("node"), "amount", (F.col("amount") * F.col("said")).alias("worth"))
+    held = held.groupBy("node").agg((F.sum("worth") / F.sum("amount")).alias("content"))
+    style_weight = 1 - F.pow(F.lit(GAMMA), F.col("styles"))
+    blend = style_weight * F.col("shown") + (1 - style_weight) * F.coalesce("content", F.lit(0.0))
+    return nodes.join(held, "node", "left").select("node", "pages", F.when(one, 1.0).otherwise(blend).alias("importance"))
+
+
+def unimportant(features: DataFrame) -> DataFrame:
+    """(node): those that go, with their branches.  The last bit of a node's key tells whether it is marked."""
+    least = F.when(F.col("node").bitwiseAND(F.lit(1)) == 1, LEAST_MARKED).otherwise(LEAST)
+    return importance(features).where((F.col("pages") >= PAGES) & (F.col("importance") < least)).select("node")
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", sent: int = SENT) -> DataFrame:
@@ -324,27 +355,25 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", source:
 
     spark = pages.sparkSession
     d = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html")).withColumn("digest", F.xxhash64("html"))
-    d = d.withColumn("host", _site(F.col("url"), F.col("digest")))
-    features = d.select("host", "digest", "html").mapInArrow(_features, "host string, digest long, node long, kind int, feature long, n long")
-    low = written(importance(features).where((F.col("pages") >= PAGES) & (F.col("importance") < F.when(F.col("node").bitwiseAND(F.lit(1)) == 1, LEAST_MARKED).otherwise(LEAST))).select("host", "node"), "low-nodes")
+    d = d.withColumn("site", _site(F.col("url"), F.col("digest")))
+    features = d.select("site", "digest", "html").mapInArrow(_features, FEATURES)
+    low = written(unimportant(features), "low-nodes")
     few = low.limit(sent + 1).count() <= sent  # only how many there are
-    table: dict[str, set[int]] = {}
+    gone: frozenset[int] = frozenset()
     if few:
-        for r in low.toLocalIterator():
-            table.setdefault(r["host"], set()).add(r["node"])
+        gone = frozenset(r["node"] for r in low.toLocalIterator())
         d = d.withColumn("low", F.lit(None).cast("array<bigint>"))
     else:
-        of_page = features.select("host", "digest", "node").join(low, ["host", "node"], "left_semi").groupBy("host", "digest").agg(F.collect_set("node").alias("low"))
-        d = d.join(of_page, ["host", "digest"], "left")
-    held = spark.sparkContext.broadcast(table)
+        of_page = features.select("digest", "node").join(low, "node", "left_semi").groupBy("digest").agg(F.collect_set("node").alias("low"))
+        d = d.join(of_page, "digest", "left")
+    held = spark.sparkContext.broadcast(gone)
 
     def texts(batches):
         for batch in slices(batches, 3, 4 << 20):
             out = []
-            for host, html, low in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                gone = held.value.get(host, frozenset()) if low is None else frozenset(low)
-                out.append(" ".join(page_of(html).kept(gone)) if html else "")
+            for site, html, own in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                out.append(" ".join(page_of(html, site).kept(held.value if own is None else frozenset(own))) if html else "")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(d.dtypes)
-    return d.select("page_id", "url", "host", "html", "low").mapInArrow(texts, f"page_id {kind['page_id']}, url string, text string, n_chars long")
+    return d.select("page_id", "url", "site", "html", "low").mapInArrow(texts, f"page_id {kind['page_id']}, url string, text string, n_chars long")

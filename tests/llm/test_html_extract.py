@@ -1,4 +1,9 @@
+import collections
+import math
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hearthledger.llm import html_extract as H
 
@@ -71,5 +76,58 @@ def test_copies_of_one_page_do_not_remove_each_other(spark):
     assert {r.text for r in got.values()} == {"the same words"}
 
 
+def test_importance_is_entropy_computed_plainly(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(40)}"
+    data = []
+    for i in range(24):
+        menu = "".join(f"<li>{x}</li>" for x in ("home", "news", word()))
+        body = "".join(f"<p>{' '.join(word() for _ in range(rng.integers(2, 50)))}. And {word()} too.</p>" for _ in range(rng.integers(1, 4)))
+        data.append((i, f"http://{'ab'[i % 2]}.example/{i}", f"<div class=x><ul>{menu}</ul></div><div class=y>{body}</div><div>all rights kept here</div>"))
+    data += [(100, data[0][1], data[0][2])] * 3  # copies count once
+    pages, nodes = {}, {}
+    for url, source in {(u, s) for _, u, s in data}:
+        for node, ways, features, counts in H.page_of(source, url[7:16]).features():
+            nodes[node] = ways
+            for f, n in zip(features, counts, strict=True):
+                pages.setdefault(node, collections.defaultdict(list))[f].append(n)
+    m = {v: sum(len(x) for f, x in at.items() if f % 2 == 0) for v, at in pages.items()}
+    entropy = lambda ns: -sum(n / sum(ns) * math.log(n / sum(ns)) for n in ns)
+    said = {v: 1 - sum(entropy(x) for x in fs) / (len(fs) * math.log(m[v])) if m[v] > 1 else 1 for v, at in pages.items() if (fs := [x for f, x in at.items() if f % 2])}
+    size = {v: sum(sum(x) for f, x in at.items() if f % 2) for v, at in pages.items()}
+    want = {}
+    for v, at in pages.items():
+        styles = [len(x) for f, x in at.items() if f % 2 == 0]
+        inside = [u for u, ways in nodes.items() if v in ways and size[u]]
+        content = sum(size[u] * said[u] for u in inside) / sum(size[u] for u in inside) if inside else 0
+        w = 1 - H.GAMMA ** len(styles)
+        want[v] = (m[v], w * entropy(styles) / math.log(m[v]) + (1 - w) * content if m[v] > 1 else 1)
+    df = spark.createDataFrame([(u, s) for _, u, s in data], "url string, html string").withColumn("digest", F.xxhash64("html")).withColumn("site", H._site(F.col("url"), F.col("digest")))
+    got = {r.node: (r.pages, r.importance) for r in H.importance(df.select("site", "digest", "html").mapInArrow(H._features, H.FEATURES)).collect()}
+    assert got.keys() == want.keys() and len(got) > 10
+    assert all(got[v][0] == want[v][0] and abs(got[v][1] - want[v][1]) < 1e-9 for v in want)
+
+
+def test_tree_alone_removes_menus_and_a_teaser_hides_no_body(spark):
+    """No element or name of these pages tells what is a menu; without the tree all of it would stay."""
+    menu = "<div class=c1><div>Start</div><div>World news</div><div>Contact us</div></div><div class=c2>Terms and so on of this site. Imprint.</div>"
+    bodies = [" ".join(f"w{i}x{j}" for j in range(50)) for i in range(8)]
+    html = [f"{menu}<div class=c3><article>Teaser {i}</article><p>{b}</p></div>" for i, b in enumerate(bodies)]
+    got = rows(spark, [(i, f"http://t.example/{i}", h) for i, h in enumerate(html)])
+    for i, b in enumerate(bodies):
+        assert b in got[i].text and "World news" not in got[i].text and "Imprint" not in got[i].text
+        assert "World news" in " ".join(H.page_of(html[i]).kept())
+
+
+def test_raw_elements_do_not_close_themselves():
+    assert H.Page("<script src=x/>var a=1;</script><style/>p{}</style><p>yes</p><svg/><p>too</p>").kept() == ["yes", "too"]
+
+
+def test_repeated_ids_and_long_pages(spark):
+    long = "<p>" + "word " * 200_000 + "</p>"
+    df = spark.createDataFrame([(1, "http://a.example/", "<p>one</p>"), (1, "http://a.example/", "<p>two</p>"), (1, None, long), (None, None, None)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in H.extracted(df).collect()) == [0, 3, 3, 999_999]
+
+
 def test_empty_table(spark):
     assert rows(spark, []) == {}
