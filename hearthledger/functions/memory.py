@@ -21,7 +21,7 @@ MONTH = 2_592_000_000.0  # ms
 def tokens(text: Column) -> Column:
     """Search tokens: Latin words of two characters or more, Han characters but for stop characters, and Han pairs."""
     low = F.lower(text)
-    latin = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9_:-]+"), F.lit(0)), lambda t: F.length(t) > 1)
+    latin = F.regexp_extract_all(low, F.lit("[a-z0-9_:-]{2,}"), F.lit(0))
     ok = lambda c: ~c.isin(STOP_CHARS)
     runs = F.transform(F.regexp_extract_all(low, F.lit(HAN), F.lit(0)), lambda run: F.filter(F.split(run, ""), lambda c: c != ""))
     ones = F.flatten(F.transform(runs, lambda cs: F.filter(cs, ok)))
@@ -34,7 +34,7 @@ def tokens(text: Column) -> Column:
             ),
         )
     )
-    return F.concat(latin, ones, pairs)
+    return F.when(F.regexp_like(low, F.lit(HAN)), F.concat(latin, ones, pairs)).otherwise(latin)
 
 
 def key_part(value: Column) -> Column:
@@ -98,11 +98,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def effective_strength(strength, clarity, salience, rehearsals, last, now: int, tau: float = MONTH, gain: float = 0.04, emotion: float = 0.15, interference: float = 0.0) -> Column:
-    """Strength left at `now`: it decays by e every `tau` ms; rehearsal and emotion hold it up."""
+def effective_strength(strength, clarity, salience, rehearsals, last, now: int, tau: float = MONTH, gain: float = 0.04, emotion: float = 0.15, interference: float = 0.0, cue: float | Column = 1.0) -> Column:
+    """Strength left at `now`: it decays by e every `tau` ms; rehearsal and emotion hold it up; `cue` tells how well it is cued."""
     decay = F.exp(-F.greatest(F.lit(0), F.lit(now) - last) / F.lit(tau))
-    raw = strength * decay * (1 + F.greatest(rehearsals, F.lit(0)) * gain) * (1 + clamp(salience, 0.0, 1.0) * emotion) * (clamp(clarity, 0.0, 100.0) / 100)
-    return clamp(raw - F.lit(interference), 0.0, 100.0)
+    raw = strength * decay * (1 + F.greatest(rehearsals, F.lit(0)) * gain) * (1 + clamp(salience, 0.0, 1.0) * emotion) * (clamp(clarity, 0.0, 100.0) / 100) * clamp(F.lit(cue), 0.0, 1.0)
+    return clamp(raw - F.lit(max(0.0, interference)), 0.0, 100.0)
 
 
 def level(strength: Column) -> Column:

@@ -10,7 +10,7 @@ from hearthledger.operators.retrieval import top
 
 # Kinds that a permission opens.
 IDENTITY_KINDS = "identity location state".split()
-FOCUSED_KINDS = "identity relationship location state goal commitment".split()
+FOCUSED_KINDS = "relationship event state goal commitment preference".split()
 BASE = {"asserted": 90, "experienced": 82, "self_reported": 76, "heard": 62, "believed": 48, "suspected": 35}  # fixed values; else 25
 
 
@@ -31,10 +31,10 @@ def recallable(traces: DataFrame, facts: DataFrame, plan: DataFrame, now: int) -
     return j.where(allowed(c("permission"), c("privacy"), c("kind"), c("stable_anchor"), c("learned_at"), now))
 
 
-def within_budget(rows: DataFrame, score: str = "score") -> DataFrame:
-    """Each owner's best rows, as many as its budget."""
+def within_budget(rows: DataFrame, score: str = "score", most: int = 6) -> DataFrame:
+    """Each owner's best rows, as many as its budget.  No budget exceeds `most`, by which Spark cuts before it shuffles."""
     rank = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc(score), F.asc("id")))
-    return rows.withColumn("rank", rank.cast("long")).where("rank <= budget")
+    return rows.withColumn("rank", rank.cast("long")).where(f"rank <= {most}").where("rank <= budget")
 
 
 def canonical_owner(rows: DataFrame) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthledger import ship
 from hearthledger.functions import memory as M
 from hearthledger.operators import capture, graph, ledger, owners, retrieval, rollups, temporal
-from hearthledger.sources.adapters import FACTS, KINDS, MODES, NOW, PRIVACY, facts, rank_of, view, view_sql
+from hearthledger.sources.adapters import FACTS, KINDS, MODES, NOW, PRIVACY, facts, pick, rank_of, view, view_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,7 +42,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- lexical retrieval
-TOKENS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_:-]+'), lambda t: len(t) > 1)"
+TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_:-]{2,}')"
 BM25 = f"""
 d as (select doc_id, {TOKENS} as ts from documents),
 q as (select distinct item_id as query_id, unnest({TOKENS}) as token from benchmark),
@@ -105,15 +105,18 @@ def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("query_id", "id", r6(value).alias("blend"))
 
 
-@query(f"""{LEXICAL_SQL}, m as (select *, max(blend) over (partition by query_id) as most from b),
-r as (select *, row_number() over (partition by query_id order by blend desc, id desc) as rank from m where blend > greatest(0.08, 0.82 * most))
-select query_id, id, blend, rank from r where rank <= 12""")
+@query(f"""{LEXICAL_SQL}, m as (select b.*, stable_anchor as anchor, max(blend) filter (not stable_anchor) over (partition by query_id) as most from b join facts using (id)),
+k as (select *, row_number() over (partition by query_id, anchor order by blend desc, id desc) as k from m where anchor or blend > greatest(0.08, 0.82 * most)),
+r as (select *, row_number() over (partition by query_id order by anchor desc, k) as rank from k where k <= case when anchor then 3 else 12 end)
+select query_id, id, blend, anchor, rank from r where rank <= 12""")
 def recall_lexical_topk(spark, sf_dir):
-    from pyspark.sql import Window
-
-    b = blended(spark, sf_dir).withColumn("most", F.max("blend").over(Window.partitionBy("query_id")))
-    b = b.where(c("blend") > F.greatest(F.lit(0.08), 0.82 * c("most"))).drop("most")
-    return retrieval.top(b, ["query_id"], [F.desc("blend"), F.desc("id")], 12)
+    """Up to three stable anchors, then the rows that come near the best of the others."""
+    anchor = view(spark, sf_dir, "facts").selectExpr("id", "stable_anchor as anchor")
+    b = blended(spark, sf_dir).join(anchor, "id")
+    most = F.max(F.when(~c("anchor"), c("blend"))).over(Window.partitionBy("query_id"))
+    b = b.withColumn("most", most).where(c("anchor") | (c("blend") > F.greatest(F.lit(0.08), 0.82 * c("most")))).drop("most")
+    b = retrieval.top(b, ["query_id", "anchor"], [F.desc("blend"), F.desc("id")], 12, "k").where(~c("anchor") | (c("k") <= 3))
+    return retrieval.top(b, ["query_id"], [F.desc("anchor"), F.asc("k")], 12).select("query_id", "id", "blend", "anchor", "rank")
 
 
 # ---------------------------------------------------------------- vectors and fusion
@@ -128,6 +131,7 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set: every vector whose id is divisible by 50."""
     v = view(spark, sf_dir, "vectors").select("fact_id", "embedding")
     q = v.where("fact_id % 50 = 0").selectExpr("cast(fact_id / 50 as bigint) as query_id", "embedding as vector")
+    ship(spark)
     return retrieval.vector_search(v, q).select("query_id", "fact_id", "score", "rank")
 
 
@@ -170,11 +174,35 @@ def rrf_hybrid(spark, sf_dir):
     return out.select("query_id", "id", r6(c("fusion")).alias("fusion"), "lexical_rank", "vector_rank")
 
 
-@query(f"{RRF} select query_id, count(*) >= 4 and max(case when lexical_rank = 1 then id end) is distinct from max(case when vector_rank = 1 then id end) as required, count(*) as candidates from f group by query_id")
+@query(f"""{RRF}, o as (select *, row_number() over (partition by query_id order by fusion desc, id) as place from f),
+g as (select query_id, count(*) as candidates, max(case when lexical_rank = 1 then id end) as a, max(case when vector_rank = 1 then id end) as b,
+ bool_or(place = 1 and lexical_rank is null) as vector_only, max(case when place = 1 then fusion end) as one, max(case when place = 2 then fusion end) as two from o group by query_id)
+select query_id, candidates >= 4 and (coalesce(a <> b, false) or vector_only or (one - two) / one <= 0.08) as required, candidates from g""")
 def adaptive_rerank_flag(spark, sf_dir):
-    first = lambda n: F.max(F.when(c(n) == 1, c("id")))
-    g = rrf_hybrid(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("candidates"), first("lexical_rank").alias("a"), first("vector_rank").alias("b"))
-    return g.select("query_id", ((c("candidates") >= 4) & ~c("a").eqNullSafe(c("b"))).alias("required"), "candidates")
+    """Whether the lists disagree: other leaders, a leader that only vectors found, or a second within 8 % of the first."""
+    o = rrf_hybrid(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fusion"), "id")))
+    at = lambda n, k, x: F.max(F.when(c(n) == k, c(x)))
+    g = o.groupBy("query_id").agg(
+        F.count("*").alias("candidates"), at("lexical_rank", 1, "id").alias("a"), at("vector_rank", 1, "id").alias("b"), F.bool_or((c("place") == 1) & c("lexical_rank").isNull()).alias("vector_only"), at("place", 1, "fusion").alias("one"), at("place", 2, "fusion").alias("two")
+    )
+    split = F.coalesce(c("a") != c("b"), F.lit(False)) | c("vector_only") | ((c("one") - c("two")) / c("one") <= 0.08)
+    return g.select("query_id", ((c("candidates") >= 4) & split).alias("required"), "candidates")
+
+
+KIND_WORTH = f"{RRF}, worth as (select doc_id as id, {AFFINITY_SQL.replace('kind', pick('doc_id', KINDS))} as affinity from documents)"
+
+
+@query(f"{KIND_WORTH} select query_id, id, round(fusion + 0.004 * affinity, 6)::double as fusion from f join worth using (id)")
+def rrf_with_kinds(spark, sf_dir):
+    """Fused ranks with what the fact's kind adds."""
+    worth = view(spark, sf_dir, "facts").select("id", M.kind_affinity(c("kind"), ["event", "state"]).alias("affinity"))
+    return rrf_hybrid(spark, sf_dir).join(worth, "id").select("query_id", "id", r6(c("fusion") + 0.004 * c("affinity")).alias("fusion"))
+
+
+@query(f"{KIND_WORTH} select query_id, fact_id, round(score + 0.08 * affinity, 6)::double as score from n join worth on worth.id = n.fact_id")
+def vector_mode_score(spark, sf_dir):
+    worth = view(spark, sf_dir, "facts").select(c("id").alias("fact_id"), M.kind_affinity(c("kind"), ["event", "state"]).alias("affinity"))
+    return nearest(spark, sf_dir).join(worth, "fact_id").select("query_id", "fact_id", r6(c("score") + 0.08 * c("affinity")).alias("score"))
 
 
 # ---------------------------------------------------------------- time
@@ -266,7 +294,7 @@ PLAN = "(select concat('u', i) as owner_id, case i % 5 when 0 then 'full' when 1
 TRACES = f"{FACTS}, {view_sql('traces')[5:]}, plan as {PLAN}"
 OK_SQL = f"""ok as (select t.*, permission, budget, priority, kind, stable_anchor from traces t join plan using (owner_id) join facts f on f.id = t.fact_id where learned_at <= {NOW} and permission <> 'none'
  and not (permission = 'public_only' and privacy <> 'public') and not (permission = 'identity_only' and (privacy <> 'public' or kind not in ('identity', 'location', 'state')))
- and not (permission = 'focused' and kind not in ('identity', 'relationship', 'location', 'state', 'goal', 'commitment') and not stable_anchor))"""
+ and not (permission = 'focused' and kind not in ('relationship', 'event', 'state', 'goal', 'commitment', 'preference') and not stable_anchor))"""
 
 
 def recallable(spark, sf_dir):
@@ -418,10 +446,10 @@ def candidate_stats(spark, sf_dir):
     return view(spark, sf_dir, "repairs").groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("batch").alias("batches"), F.countDistinct("job_id").alias("jobs"))
 
 
-@query(ORACLE["recall_bm25"].replace("select query_id, id, round(score, 6) as score, rank from r", "select count(distinct query_id) filter (rank = 1) as answered, count(*) as selected, round(avg(case when contains(lower(d2.text), substring(lower(b.text), 1, 40)) then 1.0 else 0.0 end), 6) as precision_12 from r join documents d2 on d2.doc_id = r.id join benchmark b on b.item_id = r.query_id"))
+@query(ORACLE["recall_bm25"].replace("select query_id, id, round(score, 6) as score, rank from r", "select count(distinct query_id) filter (rank = 1) as answered, count(*) as selected, round(avg(case when contains(lower(d2.text), lower(b.text)) then 1.0 else 0.0 end), 6) as precision_12 from r join documents d2 on d2.doc_id = r.id join benchmark b on b.item_id = r.query_id"))
 def golden_metrics(spark, sf_dir):
     r = recall_bm25(spark, sf_dir).join(read(spark, sf_dir, "documents").selectExpr("doc_id as id", "lower(text) as held"), "id")
-    r = r.join(read(spark, sf_dir, "benchmark").selectExpr("item_id as query_id", "substring(lower(text), 1, 40) as want"), "query_id")
+    r = r.join(read(spark, sf_dir, "benchmark").selectExpr("item_id as query_id", "lower(text) as want"), "query_id")
     hit = F.when(F.contains("held", "want"), 1.0).otherwise(0.0)
     return r.agg(F.countDistinct(F.when(c("rank") == 1, c("query_id"))).alias("answered"), F.count("*").alias("selected"), r6(F.avg(hit)).alias("precision_12"))
 
@@ -512,11 +540,12 @@ def cast_candidate_score(spark, sf_dir):
     return capture.cast_scores(s, "owner_id", "scene_id").withColumn("score", r6(c("score")))
 
 
-@query(f"""{view_sql('traces')}, a as (select distinct scene_id, owner_id from traces where id % 3 = 0), p as (select distinct scene_id, owner_id from traces where id % 4 = 0)
+@query(f"""{view_sql('traces')}, a as (select distinct scene_id, owner_id from traces where id % 3 <> 1), p as (select distinct scene_id, owner_id from traces where id % 3 <> 0)
 select scene_id, count(*) filter (p.owner_id is null) as unplanned, count(*) filter (a.owner_id is null) as missing, count(*) filter (a.owner_id is not null and p.owner_id is not null) as matched from a full join p using (scene_id, owner_id) group by scene_id""")
 def cast_plan_diff(spark, sf_dir):
     t = view(spark, sf_dir, "traces").select("scene_id", "owner_id", "id")
-    a, p = (t.where(f"id % {k} = 0").select("scene_id", "owner_id", F.lit(True).alias(n)).distinct() for k, n in ((3, "actual"), (4, "planned")))
+    # Every trace is of the actual cast, of the planned one, or of both.
+    a, p = (t.where(f"id % 3 <> {k}").select("scene_id", "owner_id", F.lit(True).alias(n)).distinct() for k, n in ((1, "actual"), (0, "planned")))
     n = lambda e, name: F.count(F.when(F.expr(e), 1)).alias(name)
     return a.join(p, ["scene_id", "owner_id"], "full").groupBy("scene_id").agg(n("planned is null", "unplanned"), n("actual is null", "missing"), n("actual and planned", "matched"))
 

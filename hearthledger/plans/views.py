@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hearthledger.plans.catalogue import EFFECTIVE, ORACLE, c, long, query, r6, read, recall_bm25, strength
+from hearthledger.operators import retrieval
+from hearthledger.plans.catalogue import EFFECTIVE, ORACLE, c, lexical, long, query, r6, read, strength
 from hearthledger.sources.adapters import FACTS, facts, view, view_sql
 
 ROLES = "viewpoint speaker present mentioned world narrator".split()  # fixed values: the first that holds is primary
@@ -77,7 +78,8 @@ def data_revision(spark, sf_dir):
 @query(ORACLE["recall_bm25"].replace("select query_id, id, round(score, 6) as score, rank from r where rank <= 12", "select query_id, id, round(least(1.0, score / 40) * (0.85 + 0.15 * least(1.0, greatest(1.0 / rank, 0.1))), 6)::double as rerank from r where rank <= 12"))
 def rerank_score(spark, sf_dir):
     near = F.least(F.lit(1.0), F.greatest(1.0 / c("rank"), F.lit(0.1)))
-    return recall_bm25(spark, sf_dir).select("query_id", "id", r6(F.least(F.lit(1.0), c("score") / 40) * (0.85 + 0.15 * near)).alias("rerank"))
+    ranked = retrieval.top(lexical(spark, sf_dir), ["query_id"], [F.desc(r6(c("score"))), F.asc("id")], 12)
+    return ranked.select("query_id", "id", r6(F.least(F.lit(1.0), c("score") / 40) * (0.85 + 0.15 * near)).alias("rerank"))
 
 
 @query(f"{view_sql('repairs')}, r as (select *, row_number() over (partition by collection, item order by attempts desc, id desc) as k from repairs) select id, collection, item, case when k = 1 then status else 'superseded_attempt' end as status from r")

@@ -77,12 +77,27 @@ def read_set_staleness(spark, sf_dir):
     return seen.join(f, seen["fact_id"] == f["id"], "left").select("fact_id", state.alias("state"))
 
 
-@query("select item_id, doc_id, strpos(d.text, substring(b.text, 1, 60))::bigint - 1 as start from (select *, list_extract(string_split(text, ' '), 1) as w from benchmark) b join (select *, unnest(list_distinct(string_split(text, ' '))) as w from documents) d using (w) where contains(d.text, substring(b.text, 1, 60))")
+PARTS = r"[^\p{L}\p{N}]+"
+
+
+@query(r"""with b as (select *, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda w: w <> '')) as n from benchmark)
+select item_id, doc_id, strpos(d.text, b.text)::bigint - 1 as start, ((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text))::bigint as places from b join documents d on n >= 5 and contains(d.text, b.text)""")
 def evidence_offsets(spark, sf_dir):
-    """Where an excerpt lies in a source; sources meet excerpts by the excerpt's first word, not each by each."""
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("excerpt"), F.get(F.split("text", " "), F.lit(0)).alias("w"))
-    words = read(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("w"))
-    return words.join(F.broadcast(b) if b.count() <= 10_000 else b, "w").where(F.contains("text", "excerpt")).select("item_id", "doc_id", long(F.expr("locate(excerpt, text)") - 1).alias("start"))
+    """Where a whole excerpt of five words or more lies in a source: its first place and how many there are.
+
+    Any source that holds an excerpt holds the excerpt's second to fourth word in a row, so sources meet excerpts by
+    these; texts are fetched for such pairs only, and `contains` decides.
+    """
+    words = lambda x: F.filter(F.split(x, PARTS), lambda w: w != "")
+    b = read(spark, sf_dir, "benchmark").select("item_id", c("text").alias("excerpt"), words(c("text")).alias("ws")).where(F.size("ws") >= 5)
+    b = b.select("item_id", "excerpt", F.xxhash64(c("ws")[1], c("ws")[2], c("ws")[3]).alias("key"))
+    d = read(spark, sf_dir, "documents").select("doc_id", words(c("text")).alias("ws")).where(F.size("ws") >= 3)
+    n = F.size("ws") - 2
+    d = d.select("doc_id", F.explode(F.arrays_zip(F.slice("ws", 1, n).alias("a"), F.slice("ws", 2, n).alias("b"), F.slice("ws", 3, n).alias("c"))).alias("t"))
+    pairs = d.select("doc_id", F.xxhash64("t.a", "t.b", "t.c").alias("key")).join(b.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
+    held = pairs.join(b.select("item_id", "excerpt"), "item_id").join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "excerpt"))
+    places = F.expr("(length(text) - length(replace(text, excerpt, ''))) div length(excerpt)")
+    return held.select("item_id", "doc_id", long(F.expr("locate(excerpt, text)") - 1).alias("start"), long(places).alias("places"))
 
 
 @query(f"{view_sql('blocks')}, a as (select chat_key, min(floor) as lo, max(floor) as hi from blocks where role = 'system' group by chat_key) select b.chat_key, b.floor from (select distinct chat_key, floor from blocks) b join a using (chat_key) where floor between lo - 1 and hi + 1")
@@ -131,11 +146,11 @@ def budget_partition(spark, sf_dir):
     return owners.join(F.broadcast(others), F.lit(True)).select("owner_id", share.alias("share"))  # one row
 
 
-@query(f"{view_sql('traces')}, u as (select owner_id, fact_id, id, 0 as later from traces where id % 2 = 0 union all select owner_id, fact_id, id, 1 from traces where id % 3 = 0), r as (select *, row_number() over (partition by owner_id, fact_id order by later, id) as k from u) select owner_id, fact_id, id from r where k = 1")
+@query(f"{view_sql('traces')}, u as (select owner_id, fact_id, id, id % 2 as later from traces), r as (select *, row_number() over (partition by owner_id, fact_id order by later, id) as k from u) select owner_id, fact_id, id from r where k = 1")
 def response_merge(spark, sf_dir):
     """First response wins, the expansion adds facts that it lacks."""
     t = view(spark, sf_dir, "traces").select("owner_id", "fact_id", "id")
-    both = t.where("id % 2 = 0").withColumn("later", F.lit(0)).unionByName(t.where("id % 3 = 0").withColumn("later", F.lit(1)))
+    both = t.withColumn("later", c("id") % 2)  # even ids are of the first response
     return both.groupBy("owner_id", "fact_id").agg(F.min(F.struct("later", "id")).alias("m")).select("owner_id", "fact_id", c("m.id").alias("id"))
 
 

@@ -32,7 +32,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "id": "doc_id",
             "chat_key": "source",
             "kind": pick("doc_id", KINDS),
-            "subject_key": "concat('s', doc_id % 23)",
+            "subject_key": "concat('s', doc_id % 9)",
             "predicate_key": "concat('p', doc_id % 13)",
             "object_key": "case when doc_id % 3 = 0 then concat('o', doc_id % 89) end",
             "content": "text",
@@ -52,7 +52,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         {
             "id": "event_id",
             "owner_id": "concat('u', user_id % 40)",
-            "fact_id": "event_id % 1000",
+            "fact_id": "cast(floor(event_id / 10) as bigint)",
             "privacy": "case event_type when 'click' then 'limited' when 'purchase' then 'private' when 'signup' then 'secret' else 'public' end",
             "knowledge_mode": pick("event_id", MODES),
             "strength": "cast(event_id * 7 % 101 as double)",

@@ -96,7 +96,7 @@ def test_graph_search_in_a_cycle(spark):
 def test_permissions(spark):
     ask = lambda p, privacy, kind, anchor=False, learned=0: one(spark, owners.allowed(F.lit(p), F.lit(privacy), F.lit(kind), F.lit(anchor), F.lit(learned), 10))
     assert ask("full", "secret", "event") and not ask("none", "public", "event") and not ask("full", "public", "event", learned=11)
-    assert ask("focused", "secret", "goal") and not ask("focused", "public", "event") and ask("focused", "public", "event", True)
+    assert ask("focused", "secret", "goal") and ask("focused", "public", "preference") and not ask("focused", "public", "identity") and ask("focused", "public", "identity", True)
     assert ask("identity_only", "public", "state") and not ask("identity_only", "limited", "state") and not ask("public_only", "private", "goal")
 
 

@@ -20,7 +20,7 @@ def duck():
 
 
 def plain(rows):
-    return sorted(repr(tuple(round(v, 5) if isinstance(v, float) else v for v in r)) for r in rows)
+    return sorted(repr(tuple(round(v, 6) if isinstance(v, float) else v for v in r)) for r in rows)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
