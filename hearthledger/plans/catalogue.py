@@ -113,9 +113,10 @@ def recall_lexical_topk(spark, sf_dir):
     """Up to three stable anchors, then the rows that come near the best of the others."""
     anchor = view(spark, sf_dir, "facts").selectExpr("id", "stable_anchor as anchor")
     b = blended(spark, sf_dir).join(anchor, "id")
-    most = F.max(F.when(~c("anchor"), c("blend"))).over(Window.partitionBy("query_id"))
-    b = b.withColumn("most", most).where(c("anchor") | (c("blend") > F.greatest(F.lit(0.08), 0.82 * c("most")))).drop("most")
+    # The best of each kind first: the cut depends on the best regular row only, and keeps a prefix.
     b = retrieval.top(b, ["query_id", "anchor"], [F.desc("blend"), F.desc("id")], 12, "k").where(~c("anchor") | (c("k") <= 3))
+    most = F.max(F.when(~c("anchor"), c("blend"))).over(Window.partitionBy("query_id"))
+    b = b.withColumn("most", most).where(c("anchor") | (c("blend") > F.greatest(F.lit(0.08), 0.82 * c("most"))))
     return retrieval.top(b, ["query_id"], [F.desc("anchor"), F.asc("k")], 12).select("query_id", "id", "blend", "anchor", "rank")
 
 

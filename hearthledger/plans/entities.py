@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthledger.functions import memory as M
 from hearthledger.operators import entities as E
+from hearthledger.operators.retrieval import spread
 from hearthledger.plans.catalogue import EFFECTIVE, c, query, r6, read, strength
 from hearthledger.sources.adapters import FACTS, pick, view, view_sql
 
@@ -124,7 +125,7 @@ e as (select *, least(72, greatest(3, ceil(length(s) * 0.72)::bigint)) as most f
 select id, case when strength <= 0 then null when strength >= 85 then md5(content) when strength >= 45 then {GIST_SQL} when strength >= 25 then concat('隐约记得「', subject_key, '」与「', predicate_key, '」有关，细节不清。') else concat('对「', subject_key, '」有一段模糊印象。') end as packet from e""")
 def recall_packets(spark, sf_dir):
     """What is left of each fact at its strength; whole texts as digests."""
-    f = view(spark, sf_dir, "facts").where("content is not null").withColumn("strength", F.expr("cast(id * 7 % 101 as double)"))
+    f = spread(view(spark, sf_dir, "facts").where("content is not null")).withColumn("strength", F.expr("cast(id * 7 % 101 as double)"))
     return f.select("id", E.packet(c("content"), c("subject_key"), c("predicate_key"), c("strength")).alias("p"), "strength", "content").select("id", F.when(c("strength") >= 85, F.md5("content")).otherwise(c("p")).alias("packet"))
 
 
