@@ -186,7 +186,6 @@ def search(vectors: DataFrame, every: int = 50, key: str = "vec_id", vector: str
     asked = written(rows.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id", "v"]).withColumn("asked", F.xxhash64("id", "v")), "asked")
     index = index.withColumn("shelf", F.floor(F.col("cell") / F.lit(SHELF)).cast("int"))
     sizes = {r["shelf"]: -(-r["n"] // ENTRIES) for r in index.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
-    blocks = spark.createDataFrame([(int(c), int(n)) for c, n in sizes.items()], "shelf int, blocks long")
     count_up = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
     def meet(entries_, queries_):
@@ -218,10 +217,12 @@ def search(vectors: DataFrame, every: int = 50, key: str = "vec_id", vector: str
                     yield pd.DataFrame({"asked": pdf["asked"].to_numpy()[rows_], "q": pdf["v"].to_numpy()[rows_], "shelf": [int(c[0]) // SHELF for c in parts], "cells": parts})
 
         asks = queries.select("asked", small).mapInPandas(probe, f"asked long, q array<{kind}>, shelf int, cells array<int>")
-        wide = int(queries.count()) // QUERIES_A_BLOCK + 1
-        # A shelf is a few cells.  Its entries lie in blocks by hash, queries in blocks by hash; blocks meet once.
-        left = index.join(F.broadcast(blocks), "shelf").select("shelf", F.pmod(F.xxhash64("entry"), "blocks").alias("eb"), count_up(F.lit(wide).cast("long")).alias("qb"), "cell", "entry", "first", "code", "error", "v")
-        right = asks.join(F.broadcast(blocks), "shelf").select("shelf", count_up(F.col("blocks")).alias("eb"), F.pmod(F.xxhash64("asked"), F.lit(wide).cast("long")).alias("qb"), "cells", "asked", "q")
+        # A shelf is a few cells.  Its entries lie in blocks by hash, and so do the queries that probe it; blocks meet once.
+        # Entries are copied once for each block of queries of their own shelf, and not at all where none asks.
+        wide = {r["shelf"]: r["n"] // QUERIES_A_BLOCK + 1 for r in asks.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
+        shelves = spark.createDataFrame([(int(s), int(n), int(wide[s])) for s, n in sizes.items() if s in wide], "shelf int, blocks long, wide long")
+        left = index.join(F.broadcast(shelves), "shelf").select("shelf", F.pmod(F.xxhash64("entry"), "blocks").alias("eb"), count_up(F.col("wide")).alias("qb"), "cell", "entry", "first", "code", "error", "v")
+        right = asks.join(F.broadcast(shelves), "shelf").select("shelf", count_up(F.col("blocks")).alias("eb"), F.pmod(F.xxhash64("asked"), F.col("wide")).alias("qb"), "cells", "asked", "q")
         found = left.groupBy("shelf", "eb", "qb").cogroup(right.groupBy("shelf", "eb", "qb")).applyInPandas(meet, "asked long, entry long, first long, near double")
         turn = Window.partitionBy("asked").orderBy(F.desc("near"), "first")
         found = found.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most).select("asked", "entry")

@@ -31,10 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- durable cuts of lineage
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir).  Where none is set: one in the warehouse, or, if all of Spark runs in this process, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="hearthledger-")
+        alone = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+        found = "file://" + tempfile.mkdtemp(prefix="hearthledger-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/hearthledger-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
         _forget_later(spark, found)
     return found

@@ -33,8 +33,9 @@ def texts():
     return [(int(d), t) for d, t in zip(rng.permutation(len(out)) * 2, out, strict=True)]
 
 
-def test_suffix_dedup(spark, texts, monkeypatch):
-    got = {r.doc_id: r for r in suffix_dedup.digest(frame(spark, [(d, t, "s") for d, t in texts])).collect()}
+@pytest.mark.parametrize("most", [suffix_dedup.INDEX_BYTES, 250])
+def test_suffix_dedup(spark, texts, most):
+    got = {r.doc_id: r for r in suffix_dedup.digest(frame(spark, [(d, t, "s") for d, t in texts]), most=most).collect()}
     seen = set()
     for d, t in sorted(texts, key=lambda r: r[0]):
         raw = (t or "").encode()
@@ -283,6 +284,36 @@ def test_personal_data(spark):
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def test_reliabilities_are_learned_from_votes():
+    """Votes drawn with known rates: the posterior parts the truths, and follows the better labelers."""
+    rng = np.random.default_rng(5)
+    truth = rng.random(4000) < 0.4
+    rates = [0.95, 0.9, 0.55]  # how often each labeler is right
+    v = np.stack([np.where(rng.random(4000) < r, truth, ~truth) * 2 - 1 for r in rates], axis=1)
+    v[rng.random(v.shape) < 0.2] = 0
+    post = pii.reliabilities(list(collections.Counter(map(tuple, v.tolist())).items()))
+    told = np.array([post[tuple(x)] for x in v.tolist()])
+    sure = (v[:, :2] != 0).all(1)
+    assert ((told > 0.5) == truth)[sure].mean() > 0.9
+    assert post[1, 1, -1] > 0.9 and post[-1, -1, 1] < 0.1 and post[1, 0, 0] > 0.5 > post[0, 0, 1]
+
+
+def test_classifier_learns_soft_labels():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 3))
+    y = 1 / (1 + np.exp(-(x @ [2.0, -1.0, 0.0])))
+    w = pii.fitted([(r.tolist(), float(p)) for r, p in zip(x, y, strict=True)])
+    assert np.allclose(w, [2, -1, 0], atol=0.1)
+
+
+def test_two_kinds_may_start_at_one_place(spark):
+    text = "+4111 1111 1111 1111 and 1.2.3.4 " * 3
+    r = pii.find(frame(spark, [(1, text, "s"), (1, "x@y.zz", "s")])).collect()
+    assert sorted(x.n_email for x in r) == [0, 1]
+    joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base(text))
+    assert hashlib.sha256(joined.encode()).hexdigest() in {x.base_sha256 for x in r}
+
+
 def test_masked_keeps_rows_and_columns(spark):
     df = frame(spark, [(i, t, "s") for i, t in enumerate(PERSONAL)])
     got = {r.doc_id: r.text for r in pii.masked(df).collect()}
@@ -302,6 +333,17 @@ def test_clashing_names_survive(spark):
         assert {r.doc_id for r in run(df).collect()} == {1, None}
 
 
+@pytest.mark.parametrize("run", [suffix_dedup.digest, substring_dedup.digest, quality_rules.judge, minhash_dedup.components, packing.packed, mixing.taken, pii.find])
+def test_repeated_ids_and_long_texts(spark, run):
+    long = " ".join(f"w{i % 977}" for i in range(60_000))
+    rows = [(1, "one two three four five six", "a"), (1, "seven eight nine", "b"), (2, long, "a"), (2, None, None), (None, long, "b")]
+    got = collections.Counter(r.doc_id for r in run(frame(spark, rows)).select("doc_id").collect())
+    if run is not packing.packed:
+        assert got == {1: 2, 2: 2, None: 1}
+    else:
+        assert set(got) == {1, 2, None}
+
+
 @pytest.mark.parametrize("run", [suffix_dedup.digest, substring_dedup.digest, quality_rules.judge, quality_rules.passing, packing.packed, mixing.taken, mixing.mixed, pii.find, pii.masked])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).collect() == []

@@ -23,6 +23,16 @@ def documents():
     return [(i, t, "en", ["a", "b", None][i % 3], len(t or "")) for i, t in enumerate(out)]
 
 
+def test_empty_and_null_rows(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert P.run(spark, str(tmp_path / "none")).collect() == []
+    rows = [(None, None, None, None, None), (7, None, None, "a", 0), (7, "", "en", None, 0)]
+    for _, stage in P.STAGES[:-1]:
+        docs = spark.createDataFrame(rows, SCHEMA)
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and {r.doc_id for r in got.collect()} <= {None, 7}
+
+
 def test_each_stage_and_the_whole(spark, tmp_path):
     rows = documents()
     docs = spark.createDataFrame(rows, SCHEMA)
