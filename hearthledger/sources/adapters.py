@@ -32,7 +32,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "id": "doc_id",
             "chat_key": "source",
             "kind": pick("doc_id", KINDS),
-            "subject_key": "concat('s', doc_id % 9)",
+            "subject_key": "concat('s', cast(floor(doc_id / 20) as bigint) % 8)",
             "predicate_key": "concat('p', doc_id % 13)",
             "object_key": "case when doc_id % 3 = 0 then concat('o', doc_id % 89) end",
             "content": "text",
