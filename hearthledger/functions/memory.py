@@ -53,27 +53,38 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(units, F.lit(2166136261).cast("long"), step)
 
 
-def fnv1a_variants(texts: list[str], variants: int = 4) -> np.ndarray:
-    """FNV-1a of 32 bits over the code points of variant, NUL and text: a row for each text, a column for each variant.  All texts advance together."""
+def _advanced(texts: list[str], h: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """FNV-1a from states `h` (a row for each text, a column for each variant); every code point is first crossed with `mask`.  All texts advance together."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     by = np.argsort(-lengths, kind="stable")
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     starts = (np.cumsum(lengths) - lengths)[by]
-    prime = np.uint32(16777619)
-    h = np.full((len(texts), variants), 2166136261, dtype=np.uint32)
-    h ^= np.array([ord(str(v)) for v in range(variants)], dtype=np.uint32)
-    h *= prime
-    h *= prime  # NUL changes no bit
     longest = int(lengths.max(initial=0))
     for t, live in enumerate(np.searchsorted(-lengths[by], -np.arange(longest), "left").tolist()):
         now = h[:live]
-        now ^= codes[starts[:live] + t][:, None]
-        now *= prime
+        now ^= codes[starts[:live] + t][:, None] ^ mask
+        now *= np.uint32(16777619)
     out = np.empty_like(h)
     out[by] = h
     return out
 
 
+def fnv1a_variants(texts: list[str], variants: int = 4) -> np.ndarray:
+    """FNV-1a of 32 bits over the code points of variant, NUL and text: a row for each text, a column for each variant."""
+    prime = np.uint32(16777619)
+    h = np.full((len(texts), variants), 2166136261, dtype=np.uint32)
+    h ^= np.array([ord(str(v)) for v in range(variants)], dtype=np.uint32)
+    h *= prime
+    h *= prime  # NUL changes no bit
+    return _advanced(texts, h, np.zeros(variants, dtype=np.uint32))
+
+
+def stable_hashes(texts: list[str]) -> list[str]:
+    """128 bits as 32 hex digits: four FNV-1a hashes whose code points are crossed with 0, 1, 2 and 3."""
+    h = np.full((len(texts), 4), 2166136261, dtype=np.uint32)
+    return ["".join(f"{x:08x}" for x in row) for row in _advanced(texts, h, np.arange(4, dtype=np.uint32)).tolist()]
+
+
 def record_key(text: Column) -> Column:
     """128 bits as 32 hex digits: FNV-1a of four variants over the NFKC form; null stays null."""
 
