@@ -102,7 +102,7 @@ def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded = c("valid_from").isNotNull() | c("valid_until").isNotNull()
     zero = F.lit(0.0)
     value = retrieval.blended(c("score"), zero, zero, bounded, F.lit(NOW) - c("updated_at"), M.kind_affinity(c("kind"), ["event", "state"]), c("stable_anchor"), c("state_ref"))
-    return j.select("query_id", "id", r6(value).alias("blend"))
+    return j.select("query_id", "id", r6(value).alias("blend"), c("stable_anchor").alias("anchor"))
 
 
 @query(f"""{LEXICAL_SQL}, m as (select b.*, stable_anchor as anchor, max(blend) filter (not stable_anchor) over (partition by query_id) as most from b join facts using (id)),
@@ -111,8 +111,7 @@ r as (select *, row_number() over (partition by query_id order by anchor desc, k
 select query_id, id, blend, anchor, rank from r where rank <= 12""")
 def recall_lexical_topk(spark, sf_dir):
     """Up to three stable anchors, then the rows that come near the best of the others."""
-    anchor = view(spark, sf_dir, "facts").selectExpr("id", "stable_anchor as anchor")
-    b = blended(spark, sf_dir).join(anchor, "id")
+    b = blended(spark, sf_dir)
     # The best of each kind first: the cut depends on the best regular row only, and keeps a prefix.
     b = retrieval.top(b, ["query_id", "anchor"], [F.desc("blend"), F.desc("id")], 12, "k").where(~c("anchor") | (c("k") <= 3))
     most = F.max(F.when(~c("anchor"), c("blend"))).over(Window.partitionBy("query_id"))
