@@ -60,7 +60,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cut-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _forget_later(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.cut = path
+    return again
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a table that ``written`` gave and that no later plan reads."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.cut)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, lm_scoring, minhash_dedup, mixing, packing, pii, quality_rules, substring_dedup, suffix_dedup
+from . import ann, conversation_trie, html_extract, lm_scoring, minhash_dedup, mixing, packing, pii, quality_rules, substring_dedup, suffix_dedup, vector_codes
 from .common import table
 
 
@@ -50,6 +50,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_rules": op2_quality_rules,
@@ -61,9 +69,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_nearest": op9_nearest,
     "op10_pii": op10_pii,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
     "op4_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op11_conversation_trie": conversation_trie.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.ORACLE_SQL,
 }
