@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, conversation_trie, html_extract, lm_scoring, minhash_dedup, mixing, packing, pii, quality_rules, substring_dedup, suffix_dedup, vector_codes
+from . import ann, conversation_trie, html_extract, lm_scoring, minhash_dedup, mixing, packing, pii, quality_rules, substring_dedup, suffix_dedup, toxicity, vector_codes
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_rules": op2_quality_rules,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_vector_codes": op12_vector_codes,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLE: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE_SQL,
