@@ -131,6 +131,29 @@ def first_columns(demand: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return np.array(out).T
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse, by Gauss-Jordan elimination with row pivots.
+
+    Elementwise numpy only, as in all of this planning: numpy's linear algebra may start threads of its own, and those
+    don't return in the process of a Spark driver.
+    """
+    n = len(a)
+    wide = np.concatenate([a.astype(float), np.eye(n)], axis=1)
+    for k in range(n):
+        at = k + int(np.abs(wide[k:, k]).argmax())
+        if at != k:
+            wide[[k, at]] = wide[[at, k]]
+        wide[k] /= wide[k, k]
+        other = np.flatnonzero(wide[:, k])
+        other = other[other != k]
+        wide[other] -= wide[other, k, None] * wide[k]
+    return wide[:, n:]
+
+
+def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", a, x)
+
+
 def columns(demand: np.ndarray, gap: float = 3e-4, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
     """Patterns and their (fractional) use: the fewest sequences that hold `demand` pieces of each class."""
     room = len(demand)
@@ -139,8 +162,8 @@ def columns(demand: np.ndarray, gap: float = 3e-4, rounds: int = 4000) -> list[t
         return []
     m = len(kinds)
     basis = first_columns(demand, kinds)
-    inverse = np.linalg.inv(basis)
-    use = np.maximum(inverse @ demand[kinds], 0)
+    inverse = inverted(basis)
+    use = np.maximum(_times(inverse, demand[kinds].astype(float)), 0)
     gap = max(gap, room / float(demand @ np.arange(1, room + 1)))  # closer than one sequence is lost in rounding
     for step in range(rounds):
         duals = inverse.sum(0)
@@ -150,7 +173,7 @@ def columns(demand: np.ndarray, gap: float = 3e-4, rounds: int = 4000) -> list[t
         if worth <= 1 + gap:  # use.sum() / worth is a lower bound
             break
         column = pattern[kinds].astype(float)
-        direction = inverse @ column
+        direction = _times(inverse, column)
         steep = direction > 1e-9
         if not steep.any():
             break
@@ -161,8 +184,8 @@ def columns(demand: np.ndarray, gap: float = 3e-4, rounds: int = 4000) -> list[t
         use[out] = far
         basis[:, out] = column
         if step % 300 == 299:
-            inverse = np.linalg.inv(basis)
-            use = np.maximum(inverse @ demand[kinds], 0)
+            inverse = inverted(basis)
+            use = np.maximum(_times(inverse, demand[kinds].astype(float)), 0)
         else:
             row = inverse[out] / direction[out]
             inverse = inverse - np.outer(direction, row)
