@@ -72,12 +72,15 @@ def scene_state(moves: DataFrame) -> DataFrame:
 
 
 def matched_in_turn(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: list[str]) -> DataFrame:
-    """(left_id, right_id, tier): each left row with its first right row by the first key that finds one; an equi-join per key."""
-    found = None
+    """(left_id, right_id, tier): each left row with its first right row by the first key that finds one.
+
+    The right side comes down to one row a key before it is joined, so that a join gives one row for each left row.
+    """
+    rows = left.select(left_id, *keys)
     for tier, key in enumerate(keys, 1):
-        one = left.select(left_id, key).join(right.select(right_id, key), key).groupBy(left_id).agg(F.min(right_id).alias(right_id)).withColumn("tier", F.lit(tier).cast("long"))
-        found = one if found is None else found.unionByName(one.join(found, left_id, "left_anti"))
-    return found
+        rows = rows.join(right.groupBy(key).agg(F.min(right_id).alias(f"_{tier}")), key, "left")
+    hits = [F.when(c(f"_{t}").isNotNull(), F.struct(c(f"_{t}").alias(right_id), F.lit(t).cast("long").alias("tier"))) for t in range(1, len(keys) + 1)]
+    return rows.select(left_id, F.coalesce(*hits).alias("hit")).where("hit is not null").groupBy(left_id).agg(F.min(F.struct("hit.tier", f"hit.{right_id}")).alias("hit")).select(left_id, f"hit.{right_id}", "hit.tier")
 
 
 def integrity(facts: DataFrame, heads: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:

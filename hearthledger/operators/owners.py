@@ -31,10 +31,11 @@ def recallable(traces: DataFrame, facts: DataFrame, plan: DataFrame, now: int) -
     return j.where(allowed(c("permission"), c("privacy"), c("kind"), c("stable_anchor"), c("learned_at"), now))
 
 
-def within_budget(rows: DataFrame, score: str = "score", most: int = 6) -> DataFrame:
-    """Each owner's best rows, as many as its budget.  No budget exceeds `most`, by which Spark cuts before it shuffles."""
+def within_budget(rows: DataFrame, plan: DataFrame, score: str = "score") -> DataFrame:
+    """Each owner's best rows, as many as its budget.  Spark cuts every partition to the plan's largest budget before it shuffles."""
+    most = plan.agg(F.max("budget")).first()[0] or 0
     rank = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.desc(score), F.asc("id")))
-    return rows.withColumn("rank", rank.cast("long")).where(f"rank <= {most}").where("rank <= budget")
+    return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).where("rank <= budget")
 
 
 def canonical_owner(rows: DataFrame) -> DataFrame:

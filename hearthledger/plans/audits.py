@@ -182,14 +182,14 @@ def observed_facts(spark, sf_dir):
     return o.join(e, ["chat_key", "start_floor"], "left").groupBy("fact_id").agg(F.countDistinct("id").alias("observations"), F.countDistinct("episode_id").alias("episodes"), F.min("episode_id").alias("first_episode"))
 
 
-@query(f"""{view_sql('traces')}, k as (select owner_id, fact_id, list(id) as trace_ids, max(strength) as score from traces group by all), p as (select owner_id, id as trace_id, fact_id from traces where id % 3 = 0),
+@query(f"""{view_sql('traces')}, k as (select owner_id, fact_id, list(id) as trace_ids, max(strength) as score from traces group by all), p as (select owner_id, id as trace_id, fact_id from traces),
 j as (select p.owner_id, trace_id, p.fact_id, score from p join k on k.owner_id = p.owner_id and list_contains(trace_ids, trace_id)) select fact_id, max(trace_id) as trace_id, count(*) as packets, max(score) as score from j group by fact_id""")
 def injected_rows(spark, sf_dir):
     """Packets with the candidates whose traces hold them; by exploded trace ids, one row a fact."""
     t = view(spark, sf_dir, "traces")
     k = t.groupBy("owner_id", "fact_id").agg(F.collect_list("id").alias("trace_ids"), F.max("strength").alias("score"))
     held = k.select("owner_id", F.explode("trace_ids").alias("trace_id"), "score")
-    p = t.where("id % 3 = 0").select("owner_id", c("id").alias("trace_id"), "fact_id")
+    p = t.select("owner_id", c("id").alias("trace_id"), "fact_id")
     return p.join(held, ["owner_id", "trace_id"]).groupBy("fact_id").agg(F.max("trace_id").alias("trace_id"), F.count("*").alias("packets"), F.max("score").alias("score"))
 
 
@@ -261,8 +261,7 @@ def knowledge_leaks(spark, sf_dir):
     return g.join(m, "mark").where("owners > 1 and id <> first_id").groupBy("owner_id").agg(F.count("*").alias("leaks"))
 
 
-@query(r"""with b as (select *, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda w: w <> '')) as n from benchmark)
-select item_id, count(*) as explicit, min(doc_id) as first_id from b join documents d on n >= 5 and length(b.text) >= 24 and contains(d.text, b.text) group by item_id""")
+@query("""select item_id, count(*) as explicit, min(doc_id) as first_id from benchmark b join documents d on length(b.text) >= 24 and contains(d.text, b.text) group by item_id""")
 def memory_usage(spark, sf_dir):
     """Memories that outputs quote word for word, with the first output."""
     from hearthledger.plans.workflows import evidence_offsets

@@ -297,14 +297,17 @@ OK_SQL = f"""ok as (select t.*, permission, budget, priority, kind, stable_ancho
  and not (permission = 'focused' and kind not in ('relationship', 'event', 'state', 'goal', 'commitment', 'preference') and not stable_anchor))"""
 
 
-def recallable(spark, sf_dir):
-    plan = spark.range(40).selectExpr(
+def recall_plan(spark):
+    return spark.range(40).selectExpr(
         "concat('u', id) as owner_id",
         "case id % 5 when 0 then 'full' when 1 then 'focused' when 2 then 'identity_only' when 3 then 'public_only' else 'none' end as permission",
         "id % 6 + 1 as budget",
         "id % 7 * 10 as priority",
     )
-    return owners.recallable(view(spark, sf_dir, "traces"), view(spark, sf_dir, "facts"), plan, NOW)
+
+
+def recallable(spark, sf_dir):
+    return owners.recallable(view(spark, sf_dir, "traces"), view(spark, sf_dir, "facts"), recall_plan(spark), NOW)
 
 
 @query(f"{TRACES}, {OK_SQL} select owner_id, permission, count(*) as traces, count(distinct fact_id) as facts from ok group by all")
@@ -314,7 +317,7 @@ def owner_recall_partition(spark, sf_dir):
 
 @query(f"{TRACES}, {OK_SQL}, r as (select owner_id, id, fact_id, strength as score, row_number() over (partition by owner_id order by strength desc, id) as rank, budget from ok) select owner_id, id, fact_id, score, rank from r where rank <= budget")
 def owner_budget_topk(spark, sf_dir):
-    return owners.within_budget(recallable(spark, sf_dir).withColumn("score", c("strength"))).select("owner_id", "id", "fact_id", "score", "rank")
+    return owners.within_budget(recallable(spark, sf_dir).withColumn("score", c("strength")), recall_plan(spark)).select("owner_id", "id", "fact_id", "score", "rank")
 
 
 @query(f"""{TRACES}, {OK_SQL}, r as (select fact_id, owner_id, row_number() over (partition by fact_id order by priority desc, strength * clarity desc, id) as k from ok where privacy = 'public'),
@@ -559,10 +562,10 @@ def alias_resolution(spark, sf_dir):
     return capture.resolve(m, a)
 
 
-@query(f"""with n as (select distinct list_extract({TOKENS}, 1) as name from benchmark), t as (select distinct doc_id, unnest({TOKENS}) as name from documents)
+@query(f"""with n as (select distinct unnest({TOKENS}) as name from benchmark), t as (select distinct doc_id, unnest({TOKENS}) as name from documents)
 select name, count(*) as texts, min(doc_id) as first_id from t join n using (name) group by name""")
 def mention_contains_join(spark, sf_dir):
-    names = read(spark, sf_dir, "benchmark").select(F.get(M.tokens(c("text")), F.lit(0)).alias("name")).distinct()
+    names = read(spark, sf_dir, "benchmark").select(F.explode(M.tokens(F.coalesce(c("text"), F.lit("")))).alias("name")).distinct()
     return capture.mentions(read(spark, sf_dir, "documents"), names, "doc_id", "text")
 
 

@@ -43,10 +43,10 @@ def location_entity_ids(spark, sf_dir):
     return read(spark, sf_dir, "nation").select("n_nationkey", E.location_id("ws", c("n_name")).alias("location_id"))
 
 
-@query(f"{FACTS} select id, concat('evidence:', id, ':', lower(to_base({fnv_sql('''chat_key || chr(10) || content[1:40]''')}::bigint, 36))) as evidence_id from facts where content is not null and content <> '' and chat_key is not null")
+@query(f"{FACTS} select id, concat('evidence:', id, ':', lower(to_base({fnv_sql('''chat_key || chr(10) || content''')}::bigint, 36))) as evidence_id from facts where content is not null and content <> '' and chat_key is not null")
 def evidence_ids(spark, sf_dir):
     f = view(spark, sf_dir, "facts").where("content is not null and content <> '' and chat_key is not null")
-    return f.select("id", E.evidence_id(c("id"), c("chat_key"), F.substring("content", 1, 40)).alias("evidence_id"))
+    return f.select("id", E.evidence_id(c("id"), c("chat_key"), c("content")).alias("evidence_id"))
 
 
 WRITTEN = ["水 约29天份", "绷带（22个）", "罐头 x15", "电池×10包", "大米 2公斤", "旧弓（已丢弃）", "种子（已播种，约120株）", "药水 400毫升", "子弹若干", "绳子", "核心 3.5 kg", "水（可维持3天）", "Rope X2", "盐 近 5 千克（剩余）"]
@@ -87,7 +87,7 @@ LABELS = {"武器": "weapon", "药品": "medicine", "食物": "food", "防具":
 def _snapshot_sql() -> str:
     text = "'" + SNAPSHOT.replace("\\n", "' || chr(10) || '") + "'"
     label = "case k " + " ".join(f"when '{k}' then '{v}'" for k, v in LABELS.items()) + " end"
-    return f"""with s as (select p_partkey as id, string_split({text} || chr(10) || '材料：木头 ' || (p_partkey % 9 + 1) || '块', chr(10)) as ls from part where p_partkey % 2 = 0),
+    return f"""with s as (select p_partkey as id, string_split({text} || chr(10) || '材料：木头 ' || (p_partkey % 9 + 1) || '块', chr(10)) as ls from part),
 l as (select id, unnest(ls) as line, generate_subscripts(ls, 1) as n, list_position(ls, '【当前物资快照】') as head from s),
 e as (select *, min(case when n > head and regexp_matches(line, '^【.+】$') then n end) over (partition by id) as stop from l),
 r as (select id, n, trim(regexp_extract(line, '^([^：:]{{1,20}})[：:]\\s*(.+)$', 1)) as k, regexp_extract(line, '^([^：:]{{1,20}})[：:]\\s*(.+)$', 2) as rest from e where n > head and (stop is null or n < stop)),
@@ -98,7 +98,7 @@ i as (select id, {label} as category, unnest(string_split_regex(rest, '[、，,
 def inventory_snapshots(spark, sf_dir):
     """Items of the inventory section of a source, up to the next section, by category."""
     text = SNAPSHOT.replace("\\n", "\n")
-    s = read(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(c("p_partkey").alias("id"), F.concat(F.lit(text + "\n材料：木头 "), c("p_partkey") % 9 + 1, F.lit("块")).alias("content"))
+    s = read(spark, sf_dir, "part").select(c("p_partkey").alias("id"), F.concat(F.lit(text + "\n材料：木头 "), c("p_partkey") % 9 + 1, F.lit("块")).alias("content"))
     # The section: what lies between its head and the next line that is all in brackets.
     body = F.regexp_extract("content", r"(?s)【当前物资快照】\n(.*?)(?:\n【[^\n]+】(?:\n|$)|$)", 1)
     line = s.select("id", F.explode(F.split(body, "\n")).alias("line")).select("id", F.trim(F.regexp_extract("line", r"^([^：:]{1,20})[：:]\s*(.+)$", 1)).alias("k"), F.regexp_extract("line", r"^([^：:]{1,20})[：:]\s*(.+)$", 2).alias("rest"))
@@ -184,9 +184,9 @@ def temporal_past_events(spark, sf_dir):
 
 
 @query(f"""{view_sql('traces')} select id, case when belief >= 0.85 or id % 7 = 0 then rehearsals + 1 else rehearsals end as rehearsals, case when belief >= 0.85 or id % 7 = 0 then least(100.0, strength + 2) else strength end as strength, round({EFFECTIVE}, 6) as before
-from traces where id % 2 = 0""")
+from traces""")
 def exposure_updates(spark, sf_dir):
     """Traces that were used: rehearsed where belief is high or the recall was explicit."""
-    t = view(spark, sf_dir, "traces").where("id % 2 = 0")
+    t = view(spark, sf_dir, "traces")
     ok = (c("belief") >= 0.85) | (c("id") % 7 == 0)
     return t.select("id", F.when(ok, c("rehearsals") + 1).otherwise(c("rehearsals")).alias("rehearsals"), F.when(ok, F.least(F.lit(100.0), c("strength") + 2)).otherwise(c("strength")).alias("strength"), r6(strength()).alias("before"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthledger.functions import memory as M
-from hearthledger.operators import graph, retrieval
+from hearthledger.operators import evidence, graph, retrieval
 from hearthledger.plans.catalogue import BM25, EDGES, REASON, RUNNING, TOKENS, VECTORS, balances, c, lexical, long, nearest, query, r6, read
 from hearthledger.sources.adapters import FACTS, NOW, facts, view, view_sql
 
@@ -77,27 +77,11 @@ def read_set_staleness(spark, sf_dir):
     return seen.join(f, seen["fact_id"] == f["id"], "left").select("fact_id", state.alias("state"))
 
 
-PARTS = r"[^\p{L}\p{N}]+"
-
-
-@query(r"""with b as (select *, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}]+'), lambda w: w <> '')) as n from benchmark)
-select item_id, doc_id, strpos(d.text, b.text)::bigint - 1 as start, ((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text))::bigint as places from b join documents d on n >= 5 and contains(d.text, b.text)""")
+@query("""select item_id, doc_id, strpos(d.text, b.text)::bigint - 1 as start, ((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text))::bigint as places from benchmark b join documents d on b.text <> '' and contains(d.text, b.text)""")
 def evidence_offsets(spark, sf_dir):
-    """Where a whole excerpt of five words or more lies in a source: its first place and how many there are.
-
-    Any source that holds an excerpt holds the excerpt's second to fourth word in a row, so sources meet excerpts by
-    these; texts are fetched for such pairs only, and `contains` decides.
-    """
-    words = lambda x: F.filter(F.split(x, PARTS), lambda w: w != "")
-    b = read(spark, sf_dir, "benchmark").select("item_id", c("text").alias("excerpt"), words(c("text")).alias("ws")).where(F.size("ws") >= 5)
-    b = b.select("item_id", "excerpt", F.xxhash64(c("ws")[1], c("ws")[2], c("ws")[3]).alias("key"))
-    d = read(spark, sf_dir, "documents").select("doc_id", words(c("text")).alias("ws")).where(F.size("ws") >= 3)
-    n = F.size("ws") - 2
-    d = d.select("doc_id", F.explode(F.arrays_zip(F.slice("ws", 1, n).alias("a"), F.slice("ws", 2, n).alias("b"), F.slice("ws", 3, n).alias("c"))).alias("t"))
-    pairs = d.select("doc_id", F.xxhash64("t.a", "t.b", "t.c").alias("key")).join(b.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    held = pairs.join(b.select("item_id", "excerpt"), "item_id").join(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", "excerpt"))
-    places = F.expr("(length(text) - length(replace(text, excerpt, ''))) div length(excerpt)")
-    return held.select("item_id", "doc_id", long(F.expr("locate(excerpt, text)") - 1).alias("start"), long(places).alias("places"))
+    """Where a whole excerpt lies in a source: its first place and how many there are."""
+    excerpts = read(spark, sf_dir, "benchmark").select("item_id", c("text").alias("excerpt"))
+    return evidence.places(excerpts, read(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
 @query(f"{view_sql('blocks')}, a as (select chat_key, min(floor) as lo, max(floor) as hi from blocks where role = 'system' group by chat_key) select b.chat_key, b.floor from (select distinct chat_key, floor from blocks) b join a using (chat_key) where floor between lo - 1 and hi + 1")
