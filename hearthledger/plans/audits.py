@@ -56,13 +56,6 @@ def current_chat_sources(spark, sf_dir):
     return A.all_sources(*lists).select("id", "kind", long(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
 
 
-@query("select user_id as chat_key, arg_max(cast(json_extract(props, '$.k') as varchar), event_id) as state, max(event_id) as event_id from events where json_extract(props, '$.k') is not null group by user_id")
-def latest_variable_state(spark, sf_dir):
-    """The last state that each chat's messages carry."""
-    e = read(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").alias("k")).where("k is not null")
-    return e.groupBy(c("user_id").alias("chat_key")).agg(F.max_by("k", "event_id").alias("state"), F.max("event_id").alias("event_id"))
-
-
 @query(f"""{view_sql('blocks')}, a as (select chat_key, floor, sum(length(content))::bigint as size from blocks where role in ('user', 'assistant') group by all),
 b as (select *, (row_number() over (partition by chat_key order by floor) - 1) // 3 as batch from a),
 p as (select *, unnest(generate_series(0, (size - 1) // 400)) as piece from b where size > 0) select chat_key, batch, floor, piece, piece * 400 as start, least(400, size - piece * 400) as chars from p""")

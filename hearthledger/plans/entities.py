@@ -157,13 +157,6 @@ def observation_channels(spark, sf_dir):
     return t.select("id", E.channel(c("source"), c("knowledge_mode"), c("privacy"), c("id") % 2 == 0, c("id") % 3 != 0).alias("channel"))
 
 
-@query("select event_id as id, 'k' as path, cast(json_extract(props, '$.k') as varchar) as value from events where json_extract(props, '$.k') is not null")
-def state_leaves(spark, sf_dir):
-    """Leaves of JSON states as rows of path and value."""
-    e = read(spark, sf_dir, "events").select(c("event_id").alias("id"), F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))
-    return e.where("value is not null")
-
-
 @query(f"{view_sql('repairs')} select id, case when id % 17 = 0 then 'duplicate_noop' when status = 'quarantined' and id % 3 <> 0 then 'unsupported_evidence' when source_ref in ('message:floor-0', 'message:floor-7') then 'unsupported_evidence' else 'ai_required' end as classification from repairs")
 def repair_classification(spark, sf_dir):
     """Repeats first, then what no source can support, else what a model must mend; known sources are joined."""
