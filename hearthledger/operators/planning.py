@@ -62,11 +62,16 @@ def sub_queries(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.where(F.trim(text) != "").select(key, F.posexplode(F.slice(parts, 1, PARTS)).alias("part", "query")).withColumn("part", F.col("part").cast("long") + 1)
 
 
-def segments(queries: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, segment): pieces of a query between marks and conjunctions, without words of asking, of two characters or more."""
-    cut = F.split(F.col(text), r"[、，,；;|/]|\s+[aA][nN][dD]\s+|和|及|与")
+def segments_of(text: Column) -> Column:
+    """Array of a query's pieces between marks and conjunctions, without words of asking, of two characters or more, in order."""
+    cut = F.split(text, r"[、，,；;|/]|\s+[aA][nN][dD]\s+|和|及|与")
     some = F.filter(F.transform(cut, lambda x: F.trim(F.regexp_replace(x, "请问|请告诉我|查询|记忆|告诉我", ""))), lambda x: F.length(x) >= 2)
-    return queries.select(key, F.explode(F.slice(some, 1, SEGMENTS)).alias("segment"))
+    return F.slice(some, 1, SEGMENTS)
+
+
+def segments(queries: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, segment): the pieces of ``segments_of``."""
+    return queries.select(key, F.explode(segments_of(F.col(text))).alias("segment"))
 
 
 def named_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
