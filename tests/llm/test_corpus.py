@@ -351,3 +351,29 @@ def test_empty_table(spark, run):
 
 def test_empty_vectors(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_packing_plans_all_classes_in_a_driver_process(spark):
+    """With every class of lengths in use: planning ends in a Spark driver with numpy's own number of threads."""
+    import time
+
+    assert spark.range(1).count() == 1
+    room = packing.SEQUENCE // packing.GRAIN
+    demand = np.random.default_rng(2).integers(1, 60, room)
+    began = time.monotonic()
+    made = packing.patterns(demand)
+    assert time.monotonic() - began < 60
+    held = np.zeros(room, dtype=np.int64)
+    for pattern, often in made:
+        assert sum(k * n for k, n in pattern) <= room
+        for k, n in pattern:
+            held[k - 1] += n * often
+    assert (held == demand).all()
+    # Fewer sequences than full ones can't hold the demand, and rounding adds few.
+    assert sum(often for _, often in made) <= -(-int(demand @ np.arange(1, room + 1)) // room) + 10
+
+
+def test_inverse_without_linear_algebra():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 5, (60, 60)).astype(float) + np.eye(60) * (rng.permutation(60) % 2)
+    assert np.allclose(packing.inverted(a) @ a, np.eye(60), atol=1e-8)
