@@ -369,8 +369,8 @@ def test_packing_plans_all_classes_in_a_driver_process(spark):
         for k, n in pattern:
             held[k - 1] += n * often
     assert (held == demand).all()
-    # Fewer sequences than full ones can't hold the demand, and rounding adds few.
-    assert sum(often for _, often in made) <= -(-int(demand @ np.arange(1, room + 1)) // room) + 10
+    # The fractional plan is a lower bound; rounding it adds 1 % at most here.
+    assert sum(often for _, often in made) <= 1.01 * sum(use for _, use in packing.columns(demand))
 
 
 def test_inverse_without_linear_algebra():
