@@ -50,11 +50,14 @@ def evidence_ids(spark, sf_dir):
 
 
 WRITTEN = ["水 约29天份", "绷带（22个）", "罐头 x15", "电池×10包", "大米 2公斤", "旧弓（已丢弃）", "种子（已播种，约120株）", "药水 400毫升", "子弹若干", "绳子", "核心 3.5 kg", "水（可维持3天）", "Rope X2", "盐 近 5 千克（剩余）"]
-STOCK = f"stock as (select p_partkey as id, {pick('p_partkey', WRITTEN)} as said from part)"
+# Half of the items as above, half by the part's own name and size.
+MADE = "concat(p_name, case p_partkey % 5 when 0 then concat(' x', p_size) when 1 then concat('（', p_size, '个）') when 2 then concat('×', p_size, '包') when 3 then concat(' ', p_size, ' kg') else '若干' end)"
+SAID = f"case when p_partkey % 2 = 0 then {pick('cast(floor(p_partkey / 2) as bigint)', WRITTEN)} else {MADE} end"
+STOCK = f"stock as (select p_partkey as id, {SAID} as said from part)"
 
 
 def stock(spark, sf_dir):
-    return read(spark, sf_dir, "part").selectExpr("p_partkey as id", f"{pick('p_partkey', WRITTEN)} as said")
+    return read(spark, sf_dir, "part").selectExpr("p_partkey as id", f"{SAID} as said")
 
 
 def _name_sql() -> str:
@@ -87,7 +90,7 @@ LABELS = {"武器": "weapon", "药品": "medicine", "食物": "food", "防具":
 def _snapshot_sql() -> str:
     text = "'" + SNAPSHOT.replace("\\n", "' || chr(10) || '") + "'"
     label = "case k " + " ".join(f"when '{k}' then '{v}'" for k, v in LABELS.items()) + " end"
-    return f"""with s as (select p_partkey as id, string_split({text} || chr(10) || '材料：木头 ' || (p_partkey % 9 + 1) || '块', chr(10)) as ls from part),
+    return f"""with s as (select p_partkey as id, string_split({text} || chr(10) || '材料：' || p_name || ' ' || p_size || '块', chr(10)) as ls from part),
 l as (select id, unnest(ls) as line, generate_subscripts(ls, 1) as n, list_position(ls, '【当前物资快照】') as head from s),
 e as (select *, min(case when n > head and regexp_matches(line, '^【.+】$') then n end) over (partition by id) as stop from l),
 r as (select id, n, trim(regexp_extract(line, '^([^：:]{{1,20}})[：:]\\s*(.+)$', 1)) as k, regexp_extract(line, '^([^：:]{{1,20}})[：:]\\s*(.+)$', 2) as rest from e where n > head and (stop is null or n < stop)),
@@ -98,7 +101,7 @@ i as (select id, {label} as category, unnest(string_split_regex(rest, '[、，,
 def inventory_snapshots(spark, sf_dir):
     """Items of the inventory section of a source, up to the next section, by category."""
     text = SNAPSHOT.replace("\\n", "\n")
-    s = read(spark, sf_dir, "part").select(c("p_partkey").alias("id"), F.concat(F.lit(text + "\n材料：木头 "), c("p_partkey") % 9 + 1, F.lit("块")).alias("content"))
+    s = read(spark, sf_dir, "part").select(c("p_partkey").alias("id"), F.concat(F.lit(text + "\n材料："), "p_name", F.lit(" "), "p_size", F.lit("块")).alias("content"))
     # The section: what lies between its head and the next line that is all in brackets.
     body = F.regexp_extract("content", r"(?s)【当前物资快照】\n(.*?)(?:\n【[^\n]+】(?:\n|$)|$)", 1)
     line = s.select("id", F.explode(F.split(body, "\n")).alias("line")).select("id", F.trim(F.regexp_extract("line", r"^([^：:]{1,20})[：:]\s*(.+)$", 1)).alias("k"), F.regexp_extract("line", r"^([^：:]{1,20})[：:]\s*(.+)$", 2).alias("rest"))
@@ -107,12 +110,12 @@ def inventory_snapshots(spark, sf_dir):
 
 
 EXCERPTS = ["他获得了水", "消耗两瓶", "丢弃旧弓", "什么也没有"]
-SUPPORT = f"select p_partkey as id, {pick('p_partkey', ['increase', 'decrease', 'remove', 'set', 'increase'])} as operation, {pick('p_partkey', EXCERPTS)} as excerpt from part"
+SUPPORT = f"select p_partkey as id, {pick('p_partkey', ['increase', 'decrease', 'remove', 'set', 'increase'])} as operation, concat(p_name, '：', {pick('p_partkey', EXCERPTS)}) as excerpt from part"
 
 
 @query(f"with s as ({SUPPORT}) select id, operation, case operation " + " ".join(f"when '{k}' then regexp_matches(excerpt, '{v}')" for k, v in E.DIRECTIONS.items()) + " else true end as supported from s")
 def inventory_operation_support(spark, sf_dir):
-    s = read(spark, sf_dir, "part").selectExpr("p_partkey as id", f"{pick('p_partkey', ['increase', 'decrease', 'remove', 'set', 'increase'])} as operation", f"{pick('p_partkey', EXCERPTS)} as excerpt")
+    s = read(spark, sf_dir, "part").selectExpr("p_partkey as id", f"{pick('p_partkey', ['increase', 'decrease', 'remove', 'set', 'increase'])} as operation", f"concat(p_name, '：', {pick('p_partkey', EXCERPTS)}) as excerpt")
     return s.select("id", "operation", E.operation_supported(c("operation"), c("excerpt")).alias("supported"))
 
 

@@ -11,13 +11,13 @@ from hearthledger.sources.adapters import FACTS, pick, view
 
 ASKED = """艾琳和林川是什么关系？他们现在还是朋友吗|林川现在在哪里？他的状态如何|世界规则是什么|之前发生过什么事件，艾琳知不知道|接下来应该如何指挥行动|防护服为什么会被污染；林川是否知道
 从开始到现在经历的变化|名为星图 的地图在哪儿|艾琳能做什么|旁白如何描述镜头|这次污染的影响|你是谁|昨天艾琳答应了什么，林川为什么离开？最后呢|where is "star-map" and who owns it| |请问艾琳与林川、夏洛特的目标""".replace("\n", "|").split("|")
-ASKS = f"""asks as (select item_id as id, {pick('item_id', ASKED)} as query from benchmark),
+ASKS = f"""asks as (select item_id as id, concat({pick('item_id', ASKED)}, case when item_id % 3 = 1 then '，' when item_id % 3 = 2 then '？' else ' ' end, coalesce(text, '')) as query from benchmark),
 named as (select *, list_filter(['艾琳', '林川', '夏洛特'], lambda n: contains(query, n)) as named from asks)"""
 
 
 def asks(spark, sf_dir):
-    """One question per benchmark item, with the names of known owners that it holds."""
-    a = read(spark, sf_dir, "benchmark").selectExpr("item_id as id", f"{pick('item_id', ASKED)} as query")
+    """One question per benchmark item, before the item's own text, with the names of known owners that it holds."""
+    a = read(spark, sf_dir, "benchmark").selectExpr("item_id as id", f"concat({pick('item_id', ASKED)}, case when item_id % 3 = 1 then '，' when item_id % 3 = 2 then '？' else ' ' end, coalesce(text, '')) as query")
     known = F.array(*(F.lit(n) for n in ("艾琳", "林川", "夏洛特")))
     return a.withColumn("named", F.filter(known, lambda n: F.contains(c("query"), n)))
 
