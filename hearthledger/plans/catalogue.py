@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hearthledger import ship
 from hearthledger.functions import memory as M
 from hearthledger.operators import capture, graph, ledger, owners, retrieval, rollups, temporal
-from hearthledger.sources.adapters import FACTS, KINDS, MODES, NOW, PRIVACY, facts, pick, rank_of, view, view_sql
+from hearthledger.sources.adapters import FACTS, KINDS, MODES, NOW, PRIVACY, SCOPES, facts, pick, rank_of, view, view_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,18 +90,30 @@ def fact_omission_reasons(spark, sf_dir):
     return facts(spark, sf_dir).groupBy(F.coalesce(retrieval.ineligible_reason(None, NOW), F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-BLEND = f"""round(0.58 * score / (score + 3) + 0.05 * case when valid_from is not null or valid_until is not null then 1.0 else 0.5 end
+# What a question is about: entities by key, and a scope in each dimension.
+ABOUT = ["concat('s', query_id % 8)", "concat('p', query_id % 13)", "concat('o', query_id % 89)"]
+WITHIN = {"hosts": "concat('h', query_id % 3)", "people": "concat('c', query_id % 5)", "worlds": "concat('w', query_id % 4)", "scenes": "concat('s', query_id % 2)"}
+_HELD = {n: e.format(a="list_value").replace("list_value()", "[]::varchar[]") for n, e in SCOPES.items()}
+_KEYS = "list_distinct([subject_key, predicate_key, coalesce(object_key, subject_key)])"
+ENTITY_SQL = f"(len(list_intersect({_KEYS}, [{', '.join(ABOUT)}])) / least(len({_KEYS}), {len(ABOUT)}))"
+CONTEXT_SQL = f"coalesce(({' + '.join(f'list_contains({_HELD[n]}, {q})::int' for n, q in WITHIN.items())}) / nullif({' + '.join(f'(len({h}) > 0)::int' for h in _HELD.values())}, 0), 0)"
+BLEND = f"""round(0.58 * score / (score + 3) + 0.18 * {ENTITY_SQL} + 0.14 * {CONTEXT_SQL} + 0.05 * case when valid_from is not null or valid_until is not null then 1.0 else 0.5 end
  + 0.05 * pow(0.5, greatest({NOW} - updated_at, 0) / 2592000000.0) + 0.16 * {AFFINITY_SQL} + case when stable_anchor then 0.04 else 0 end + case when state_ref then 0.12 else 0 end, 6)"""
 LEXICAL_SQL = f"""{FACTS}, {BM25}, e as (select query_id, f.*, s.score from facts f join s on f.id = s.id where {REASON} is null),
 b as (select query_id, id, {BLEND} as blend from e)"""
 
 
 def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, id, blend, anchor): words, entities, scope, time and kind of all facts that hold a word of a question."""
+    held = [F.expr(e.format(a="array").replace("array()", "cast(array() as array<string>)")).alias(n) for n, e in SCOPES.items()]
+    keys = F.array_distinct(F.array("subject_key", "predicate_key", F.coalesce("object_key", "subject_key")))
     ok = facts(spark, sf_dir).where(retrieval.ineligible_reason(None, NOW).isNull())
+    ok = ok.select("id", "valid_from", "valid_until", "updated_at", "kind", "stable_anchor", "state_ref", keys.alias("keys"), *held)
     j = lexical(spark, sf_dir).join(ok, "id")
     bounded = c("valid_from").isNotNull() | c("valid_until").isNotNull()
-    zero = F.lit(0.0)
-    value = retrieval.blended(c("score"), zero, zero, bounded, F.lit(NOW) - c("updated_at"), M.kind_affinity(c("kind"), ["event", "state"]), c("stable_anchor"), c("state_ref"))
+    entity = retrieval.overlap_ratio(c("keys"), F.array(*map(F.expr, ABOUT)))
+    scope = retrieval.scope_share([c(n) for n in WITHIN], [F.array(F.expr(q)) for q in WITHIN.values()])
+    value = retrieval.blended(c("score"), entity, scope, bounded, F.lit(NOW) - c("updated_at"), M.kind_affinity(c("kind"), ["event", "state"]), c("stable_anchor"), c("state_ref"))
     return j.select("query_id", "id", r6(value).alias("blend"), c("stable_anchor").alias("anchor"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearthledger.functions import memory as M
 from hearthledger.operators import planning as P
 from hearthledger.plans.catalogue import ORACLE, TOKENS, c, long, query, r6, read, recall_bm25
-from hearthledger.sources.adapters import FACTS, pick, view
+from hearthledger.sources.adapters import FACTS, SCOPES, pick, view
 
 ASKED = """艾琳和林川是什么关系？他们现在还是朋友吗|林川现在在哪里？他的状态如何|世界规则是什么|之前发生过什么事件，艾琳知不知道|接下来应该如何指挥行动|防护服为什么会被污染；林川是否知道
 从开始到现在经历的变化|名为星图 的地图在哪儿|艾琳能做什么|旁白如何描述镜头|这次污染的影响|你是谁|昨天艾琳答应了什么，林川为什么离开？最后呢|where is "star-map" and who owns it| |请问艾琳与林川、夏洛特的目标""".replace("\n", "|").split("|")
@@ -93,12 +93,6 @@ def named_entity_gate(spark, sf_dir):
     return t.join(q, "term").groupBy("query_id").agg(F.count("*").alias("passing"), F.min("id").alias("first_id"))
 
 
-SCOPES = {
-    "hosts": "case when id % 2 = 0 then {a}(concat('h', id % 3)) else {a}() end",
-    "people": "case when id % 3 = 0 then {a}(concat('c', id % 5), concat('c', id % 7)) else {a}() end",
-    "worlds": "case when id % 5 < 2 then {a}(concat('w', id % 4)) else {a}() end",
-    "scenes": "case when id % 7 = 1 then {a}(concat('s', id % 2)) else {a}() end",
-}
 ASKED_SCOPE = {"hosts": ["h0", "h1"], "people": ["c1", "c4"], "worlds": ["w0"], "scenes": ["s1"]}
 
 

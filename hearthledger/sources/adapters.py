@@ -25,6 +25,14 @@ def rank_of(column: str, values: list[str]) -> str:
     return f"case {column} " + " ".join(f"when '{v}' then {i}" for i, v in enumerate(values)) + " end"
 
 
+# Scopes of a fact, as arrays; {a} is an engine's word for one.
+SCOPES = {
+    "hosts": "case when id % 2 = 0 then {a}(concat('h', id % 3)) else {a}() end",
+    "people": "case when id % 3 = 0 then {a}(concat('c', id % 5), concat('c', id % 7)) else {a}() end",
+    "worlds": "case when id % 5 < 2 then {a}(concat('w', id % 4)) else {a}() end",
+    "scenes": "case when id % 7 = 1 then {a}(concat('s', id % 2)) else {a}() end",
+}
+
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "facts": (
         "documents",
