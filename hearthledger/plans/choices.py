@@ -8,9 +8,9 @@ from hearthledger.functions import memory as M
 from hearthledger.operators import graph, retrieval
 from hearthledger.operators import planning as Q
 from hearthledger.operators import selection as S
-from hearthledger.plans.catalogue import AFFINITY_SQL, BM25, EDGES, LEXICAL_SQL, TOKENS, VECTORS, blended, both_lists, c, query, r6, read
+from hearthledger.plans.catalogue import AFFINITY_SQL, BM25, EDGES, LEXICAL_SQL, ORACLE, TOKENS, VECTORS, blended, both_lists, c, query, r6, read, recall_bm25, recall_lexical_topk
 from hearthledger.plans.workflows import LEX, best
-from hearthledger.sources.adapters import facts, view
+from hearthledger.sources.adapters import FACTS, facts, view
 
 CHAT = "concat('src', item_id % 20)"
 GRAPH = f"""{EDGES}, {BM25}, {LEX}, own as (select distinct query_id, chat_key, unnest([subject_key, object_key]) as entity_key from l join facts using (id) where chat_key is not null),
@@ -78,3 +78,40 @@ def recall_diversified(spark, sf_dir):
     rows = pool.join(f, "id").join(q, "query_id")
     hits = S.segment_scores(c("held"), Q.segments_of(c("ask")))
     return S.diversified(rows.select("query_id", "id", c("blend").alias("score"), "updated_at", "floor", "affinity", "anchor", hits.alias("hits"), "historical", "earliest"))
+
+
+SENT, HEAD = 8, "case when query_id % 4 = 1 then 2 when query_id % 4 = 2 then 1 else 0 end"
+GIVEN = "unnest([{'at': 0, 'index': query_id % 3, 'score': 0.4}, {'at': 1, 'index': (query_id * 7) % 9, 'score': 0.9}, {'at': 2, 'index': 5, 'score': (query_id % 10) / 10.0}, {'at': 3, 'index': 5, 'score': 0.99}, {'at': 4, 'index': -1, 'score': 0.5}, {'at': 5, 'index': 40, 'score': 0.5}, {'at': 6, 'index': 1, 'score': 1.5}, {'at': 7, 'index': 4, 'score': 0.9}])"
+
+
+@query(ORACLE["recall_lexical_topk"].replace("select query_id, id, blend, anchor, rank from r where rank <= 12", f"""select query_id, id, blend, rank, rank - 1 - {HEAD} as index from r where rank <= 12""").join(["with ranked as (", f"""), most as (select query_id, max(index) as most from ranked group by query_id), given as (select query_id, g.at as "turn", g.index as index, g.score::double as score from (select item_id as query_id, {GIVEN.replace('query_id', 'item_id')} as g from benchmark)),
+good as (select query_id, index, arg_min(score, turn) as rerank from given join most using (query_id) where index >= 0 and index < least(most + 1, {SENT}) and score between 0 and 1 group by all),
+j as (select query_id, id, rank, blend, index, case when index >= 0 then rerank end as rerank from ranked left join good using (query_id, index)),
+k as (select *, case when index < 0 then 0 when rerank is not null then 1 when index < {SENT} then 2 else 3 end as kind from j)
+select query_id, id, row_number() over (partition by query_id order by kind, case when kind = 1 then rerank end desc nulls last, rank) as place, round(case when rerank is not null then rerank * (0.85 + 0.15 * greatest(0.1, 1.0 / rank)) else blend end, 6)::double as score from k"""]))
+def recall_reranked(spark, sf_dir):
+    """Items after a reranker's answer, of which some results are wrong or come twice."""
+    items = recall_lexical_topk(spark, sf_dir).select("query_id", "id", c("rank").alias("place"), c("blend").alias("score"), F.expr(HEAD).alias("head"))
+    one = lambda at, index, score: F.struct(F.lit(at).alias("at"), index.cast("double").alias("index"), score.cast("double").alias("score"))
+    q, n = c("item_id"), F.lit
+    rows = F.array(one(0, q % 3, n(0.4)), one(1, q * 7 % 9, n(0.9)), one(2, n(5), q % 10 / 10), one(3, n(5), n(0.99)), one(4, n(-1), n(0.5)), one(5, n(40), n(0.5)), one(6, n(1), n(1.5)), one(7, n(4), n(0.9)))
+    results = read(spark, sf_dir, "benchmark").select(q.alias("query_id"), F.inline(rows))
+    return S.reranked(items, results, "head", SENT).withColumn("score", r6(c("score")))
+
+
+TOPIC = "[coalesce(list_extract({t}, 3), ''), concat('s', {q} % 8, ' '), concat('P', {q} % 13)]"
+BARE = "lower(regexp_replace({}, '\\s+', '', 'g'))"
+
+
+@query(ORACLE["recall_bm25"].replace("with ", "", 1).join([f"{FACTS}, ", ""]).replace("select query_id, id, round(score, 6) as score, rank from r where rank <= 12", f"""select query_id, id, len(list_filter(terms, lambda t: length(t) >= 2 and len(list_filter(held, lambda v: length(v) >= 2 and (contains(v, t) or contains(t, v)))) > 0)) > 0 as on_topic,
+len(list_filter(terms, lambda t: length(t) >= 2 and contains(body, t) and regexp_matches(body[strpos(body, t) + length(t):strpos(body, t) + length(t) + 31], '{S.DEFINES}'))) > 0 as defines
+from (select query_id, id, list_transform({TOPIC.format(t=TOKENS.replace('text', 'm.text'), q='query_id')}, lambda x: {BARE.format('x')}) as terms, regexp_replace(concat(coalesce(content, ''), '。s', query_id % 8, '是 x'), '\\s+', '', 'g') as body,
+ list_transform([concat(coalesce(content, ''), '。s', query_id % 8, '是 x'), subject_key, predicate_key, coalesce(object_key, '')], lambda x: {BARE.format('x')}) as held from r join facts using (id) join benchmark m on m.item_id = query_id where rank <= 12)"""))
+def topic_matches(spark, sf_dir):
+    """Which recalled facts are on a question's topic, and which say what the topic is."""
+    terms = F.array(F.coalesce(F.get(M.tokens(F.coalesce(c("text"), F.lit(""))), F.lit(2)), F.lit("")), F.concat(F.lit("s"), c("item_id") % 8, F.lit(" ")), F.concat(F.lit("P"), c("item_id") % 13))
+    q = read(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), terms.alias("terms"))
+    rows = recall_bm25(spark, sf_dir).select("query_id", "id").join(view(spark, sf_dir, "facts").select("id", "content", "subject_key", "predicate_key", "object_key"), "id").join(q, "query_id")
+    rows = rows.withColumn("content", F.concat(F.coalesce("content", F.lit("")), F.lit("。s"), c("query_id") % 8, F.lit("是 x")))
+    about = S.matches_topic([c("content"), c("subject_key"), c("predicate_key"), c("object_key")], c("terms"))
+    return rows.select("query_id", "id", about.alias("on_topic"), S.defines(F.lower("content"), F.transform("terms", lambda t: F.lower(t))).alias("defines"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthledger.functions import memory as M
 from hearthledger.operators import planning as P
+from hearthledger.operators import selection as S
 from hearthledger.plans.catalogue import ORACLE, TOKENS, c, long, query, r6, read, recall_bm25
 from hearthledger.sources.adapters import FACTS, SCOPES, pick, view
 
@@ -84,13 +85,19 @@ def explicit_named_terms(spark, sf_dir):
     return P.named_terms(asks(spark, sf_dir), "id", "query")
 
 
-@query(f"""with q as (select item_id as query_id, list_extract({TOKENS}, 3) as term from benchmark), t as (select distinct doc_id as id, unnest({TOKENS}) as term from documents)
-select query_id, count(*) as passing, min(id) as first_id from q join t using (term) group by query_id""")
+NAMING = f"concat('where is “', coalesce(list_extract({TOKENS}, 3), 'x'), '”, 名为', coalesce(list_extract({TOKENS}, 5), 'y'), '的 thing? ', coalesce(text, ''))"
+
+
+@query(rf"""with q as (select item_id as query_id, lower({NAMING}) as ask from benchmark),
+n as (select query_id, unnest(list_distinct(regexp_extract_all(ask, '[“‘"'']([一-鿿a-z0-9_:-]{{2,32}})[”’"'']', 1) || regexp_extract_all(ask, '(?:名为|名叫|叫做|称为|代号为|编号为)\s*([一-鿿a-z0-9_:-]{{2,32}}?)(?:的|[，。？！,!?；;\s]|$)', 1))) as term from q)
+select query_id, count(distinct doc_id) as passing, min(doc_id) as first_id from n join documents on contains(lower(text), term) group by query_id""")
 def named_entity_gate(spark, sf_dir):
-    """Facts that hold the name a query insists on; all others are gated out."""
-    q = read(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), F.get(M.tokens(F.coalesce(c("text"), F.lit(""))), F.lit(2)).alias("term"))
-    t = read(spark, sf_dir, "documents").select(c("doc_id").alias("id"), F.explode(F.array_distinct(M.tokens(F.coalesce(c("text"), F.lit(""))))).alias("term"))
-    return t.join(q, "term").groupBy("query_id").agg(F.count("*").alias("passing"), F.min("id").alias("first_id"))
+    """Facts that hold a name that a query puts in quotes or calls a name; all others are gated out."""
+    get = lambda i: F.get(M.tokens(F.coalesce(c("text"), F.lit(""))), F.lit(i))
+    ask = F.concat(F.lit("where is “"), F.coalesce(get(2), F.lit("x")), F.lit("”, 名为"), F.coalesce(get(4), F.lit("y")), F.lit("的 thing? "), F.coalesce("text", F.lit("")))
+    terms = P.named_terms(read(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), ask.alias("ask")), "query_id", "ask")
+    held = S.holding_names(read(spark, sf_dir, "documents").select(c("doc_id").alias("id"), "text"), terms)
+    return held.groupBy("query_id").agg(F.count("*").alias("passing"), F.min("id").alias("first_id"))
 
 
 ASKED_SCOPE = {"hosts": ["h0", "h1"], "people": ["c1", "c4"], "worlds": ["w0"], "scenes": ["s1"]}
