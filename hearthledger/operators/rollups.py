@@ -93,3 +93,32 @@ def sharing_items(left: DataFrame, right: DataFrame, items: str, left_id: str, r
     """Pairs whose arrays overlap: explode both, equi-join on the item, once per pair."""
     a, b = left.select(left_id, F.explode(items).alias("item")), right.select(right_id, F.explode(items).alias("item"))
     return a.join(b, "item").select(left_id, right_id).distinct()
+
+
+def counted_in_intervals(points: DataFrame, intervals: DataFrame, key: str, point: str, width: int = 16) -> DataFrame:
+    """(key, n, first): how many points an interval holds and the smallest `point`; intervals without points are left out.
+
+    Bounded intervals meet points by buckets.  Open ones need no pairs: points and starts of a chat in one order, from the last floor down, and a
+    running count and minimum, after points came down to one row a floor.
+    """
+    bounded = intervals_holding(points, intervals.where("end_floor is not null"), width).groupBy(key).agg(F.count("*").alias("n"), F.min(point).alias("first"))
+    none = F.lit(None).cast(dict(intervals.dtypes)[key])
+    floors = points.groupBy("chat_key", "floor").agg(F.count("*").alias("n"), F.min(point).alias("first")).withColumn(key, none)
+    starts = intervals.where("end_floor is null").select("chat_key", F.col("start_floor").alias("floor"), F.lit(0).cast("long").alias("n"), F.lit(None).cast(dict(points.dtypes)[point]).alias("first"), key)
+    down = Window.partitionBy("chat_key").orderBy(F.desc("floor"))  # of equal floors all count
+    open_ = floors.unionByName(starts).withColumns({"n": F.sum("n").over(down), "first": F.min("first").over(down)})
+    return bounded.unionByName(open_.where(F.col(key).isNotNull() & (F.col("n") > 0)).select(key, "n", "first"))
+
+
+def counted_sharing(left: DataFrame, right: DataFrame, items: str, left_id: str, right_id: str) -> DataFrame:
+    """(right_id, n, first) of rows of `right` that share an item with rows of `left`: how many, and the smallest.
+
+    Rows of equal items are one class, on either side; classes meet by item, once a pair, and each row of `left` is in one class only.
+    Rows that repeat an id count once each.
+    """
+    a = left.select(F.array_sort(F.array_distinct(items)).alias("own"), left_id).groupBy("own").agg(F.count("*").alias("n"), F.min(left_id).alias("first"))
+    r = right.select(F.array_sort(F.array_distinct(items)).alias("theirs"), right_id)
+    b = r.select("theirs").distinct()
+    met = a.select("own", F.explode("own").alias("item")).join(b.select("theirs", F.explode("theirs").alias("item")), "item").select("own", "theirs").distinct()
+    sums = met.join(a, "own").groupBy("theirs").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return r.join(sums, "theirs").select(right_id, "n", "first")

@@ -63,6 +63,15 @@ def capped_floor_batches(spark, sf_dir):
     return A.capped_batches(view(spark, sf_dir, "blocks"), 3, 400)
 
 
+@query(f"""{view_sql('blocks')}, a as (select chat_key, floor, sum(length(content))::bigint as n from blocks where role in ('user', 'assistant') group by all), l as (select chat_key, list({{'f': floor, 'n': n}} order by floor) as rows_ from a group by chat_key),
+k as (select chat_key, list_reduce(rows_, lambda s, r: list_append(s, case when len(s) = 0 then {{'f': r.f, 'b': 0::bigint, 'u': r.n, 'k': 1::bigint}} when s[-1].u >= 1600 or s[-1].u + r.n > 1600 or s[-1].k >= 4 then {{'f': r.f, 'b': s[-1].b + 1, 'u': r.n, 'k': 1::bigint}}
+ else {{'f': r.f, 'b': s[-1].b, 'u': s[-1].u + r.n, 'k': s[-1].k + 1}} end), []::struct(f bigint, b bigint, u bigint, k bigint)[]) as out_ from l) select chat_key, o.f as floor, o.b as batch, o.u as used from (select chat_key, unnest(out_) as o from k)""")
+def character_batches(spark, sf_dir):
+    """Floors in batches by their characters."""
+    ship(spark)
+    return A.character_batches(view(spark, sf_dir, "blocks"), 1_600, 4)
+
+
 @query()
 def snapshot_chunks(spark, sf_dir):
     """Texts in chunks of 4 KiB of UTF-8, cut between characters, with a digest of each; tests hold it against a plain loop."""

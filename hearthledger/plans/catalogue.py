@@ -586,7 +586,7 @@ select s.id as scene_id, count(*) as traces, min(t.id) as first_trace from scene
 def scene_episode_interval_join(spark, sf_dir):
     s = view(spark, sf_dir, "scenes").withColumnRenamed("id", "scene_id")
     t = read(spark, sf_dir, "events").selectExpr("event_id as id", "user_id as chat_key", "event_id % 400 as floor")
-    return rollups.intervals_holding(t, s).groupBy("scene_id").agg(F.count("*").alias("traces"), F.min("id").alias("first_trace"))
+    return rollups.counted_in_intervals(t, s, "scene_id", "id").toDF("scene_id", "traces", "first_trace")
 
 
 @query(f"""{FACTS}, a as (select id, unnest([concat(subject_key, predicate_key), coalesce(object_key, subject_key)]) as item from facts), b as (select event_id as audit_id, unnest([concat('s', event_id % 23, 'p', event_id % 13), concat('o', event_id % 4000)]) as item from events),
@@ -594,7 +594,7 @@ p as (select distinct id, audit_id from a join b using (item)) select audit_id,
 def fact_audit_overlap_join(spark, sf_dir):
     a = view(spark, sf_dir, "facts").selectExpr("id", "array(concat(subject_key, predicate_key), coalesce(object_key, subject_key)) as refs")
     b = read(spark, sf_dir, "events").selectExpr("event_id as audit_id", "array(concat('s', event_id % 23, 'p', event_id % 13), concat('o', event_id % 4000)) as refs")
-    return rollups.sharing_items(a, b, "refs", "id", "audit_id").groupBy("audit_id").agg(F.count("*").alias("facts"), F.min("id").alias("first_id"))
+    return rollups.counted_sharing(a, b, "refs", "id", "audit_id").toDF("audit_id", "facts", "first_id")
 
 
 @query("""with recursive h as (select n_nationkey as k, n_name as x, 1 as i, 2166136261::bigint as f from nation union all

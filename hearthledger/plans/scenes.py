@@ -38,17 +38,34 @@ TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 PLACE = "case " + " ".join(f"when regexp_matches(sentence, '{p}') then regexp_extract(sentence, '{p}', 1)" for p in S.PLACES) + " end"
 
 
-@query(rf"""with {STORIES}, raw as (select id, chat_key, unnest(regexp_split_to_array(content, '{S.SENTENCE_END}')) as sentence from story),
+TOLD = rf"""raw as (select id, chat_key, unnest(regexp_split_to_array(content, '{S.SENTENCE_END}')) as sentence from story),
 s as (select id, chat_key, {TRIM.format('sentence')} as sentence from raw where {TRIM.format('sentence')} <> ''),
 p as (select id, chat_key, regexp_replace({TRIM.format(PLACE)}, '(?:里|内|中)$', '') as place from s),
 e as (select id, chat_key, 'place' as kind, place as value from p where place <> '' union select id, chat_key, 'time_jump', '' from s where regexp_matches(sentence, '{S.TIME_JUMP}')
  union select id, chat_key, 'reset', '' from s where regexp_matches(sentence, '{S.RESET}')
- union select id, chat_key, case when regexp_matches(sentence, '{S.EXIT}') then 'exited' else 'entered' end, owner_id from s join names using (chat_key) where regexp_matches(sentence, '{S.ENTRY}|{S.EXIT}') and contains(sentence, name))
-select chat_key, kind, value, count(distinct id) as sources, min(id) as first_source from e group by all""")
+ union select id, chat_key, case when regexp_matches(sentence, '{S.EXIT}') then 'exited' else 'entered' end, owner_id from s join names using (chat_key) where regexp_matches(sentence, '{S.ENTRY}|{S.EXIT}') and contains(sentence, name))"""
+
+
+@query(f"with {STORIES}, {TOLD} select chat_key, kind, value, count(distinct id) as sources, min(id) as first_source from e group by all")
 def scene_transitions(spark, sf_dir):
     return S.transitions(story(spark, sf_dir), names(spark, sf_dir))
 
 
+@query(f"""with {STORIES}, {TOLD}, m as (select distinct e.chat_key, floor, e.kind, value from e join story using (id)),
+f as (select chat_key, floor, coalesce(array_to_string(list_sort(list(value) filter (kind = 'place')), '|'), '') as here, bool_or(kind = 'time_jump') as jump, bool_or(kind = 'reset') as reset from m group by all),
+g as (select *, last_value(nullif(here, '') ignore nulls) over w as places, row_number() over w = 1 as first from f window w as (partition by chat_key order by floor)),
+h as (select *, lag(places) over (partition by chat_key order by floor) as before from g), i as (select *, not first and here <> '' and here <> coalesce(before, '') as moved from h), j as (select *, moved or jump or reset as new from i),
+o as (select chat_key, floor, value as owner_id, bool_or(kind = 'entered') as enters, bool_or(kind = 'exited') as exits from m where kind in ('entered', 'exited') group by all),
+q as (select *, case when enters and exits then '' when enters then 'in' else 'out' end as state from o), r as (select *, coalesce(lag(state) over (partition by chat_key, owner_id order by floor), '') as was from q),
+t as (select chat_key, floor, sum((state = 'in')::int - (was = 'in')::int) as more, sum((state = 'out')::int - (was = 'out')::int) as gone, bool_or(exits) as "exit", bool_or(enters and was <> 'in') as enter from r group by all)
+select j.chat_key, j.floor, (sum(new::int) over w)::bigint as epoch, max(case when new or first then j.floor end) over w as started_at, places, (sum(coalesce(more, 0)) over w)::bigint as present, (sum(coalesce(gone, 0)) over w)::bigint as exited,
+ case when reset then 'scene_reset' when jump then 'time_jump' when "exit" then 'explicit_exit' when moved then 'location_change' when enter then 'explicit_entry' end as reason from j left join t using (chat_key, floor) window w as (partition by j.chat_key order by j.floor)""")
+def scene_history(spark, sf_dir):
+    """The scene of each chat after every floor that tells of it: epoch, places, who is there and who left."""
+    s = story(spark, sf_dir)
+    return S.history(S.told(s, names(spark, sf_dir)).join(s.select("id", "floor"), "id").select("chat_key", "floor", "kind", "value").distinct())
+
+
 def _places_sql(cues: str) -> str:
     between, hits = f"regexp_split_to_array(sentence, '{cues}')", f"regexp_extract_all(sentence, '{cues}')"
     return f"list_transform(range(1, len({hits}) + 1), lambda k: length(array_to_string(({between})[1:k], '')) + length(array_to_string(({hits})[1:k - 1], '')))"
