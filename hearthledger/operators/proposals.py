@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthledger.cuts import cut
 from hearthledger.sources.adapters import KINDS
 
 c = F.col
@@ -53,13 +54,13 @@ def fields(records: DataFrame, key: str) -> DataFrame:
         some("kind").alias("kind"), F.coalesce(get("predicateKey"), F.lit("")).alias("predicate_key"), F.when(episode, get("summary")).otherwise(get("content")).alias("content"),
         F.when(episode, F.array_distinct(F.concat(many("participantRefs"), many("presentRefs"), many("mentionedRefs"))))
         .otherwise(F.filter(F.array(some("subjectRef"), some("objectRef"), F.when(stock, some("itemRef"))), lambda x: x.isNotNull())).alias("refs"),
-        F.when(stock & states, get("amount", "double")).alias("amount"), some("operation").alias("operation"),
+        F.when(stock & states, get("amount", "double")).alias("amount"), some("operation").alias("operation"), some("episodeLocalId").alias("episode_ref"),
     )
 
 
 def with_evidence(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """`rows` with `sources` and `excerpts` of their spans, and `unknown`: how many spans aren't among `spans` (key, span_id, source_ref, text).  One equi-join on the span."""
-    own = [key, "type", "place"]
+    own, rows = [key, "type", "place"], cut(rows)  # read twice below; responses are parsed once
     asked = rows.select(*own, F.posexplode("spans").alias("at", "span_id"))
     held = spans.select(key, "span_id", "source_ref", c("text").alias("excerpt"), F.lit(True).alias("known"))
     met = asked.join(held, [key, "span_id"], "left").groupBy(*own).agg(
@@ -85,7 +86,7 @@ def validated(rows: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     lengths; references to nothing that was accepted or is known everywhere, and references whose name no source of the record holds.
     References depend on accepted people, places and items only, so two passes settle all records.
     """
-    own = [key, "type", "place"]
+    own, rows = [key, "type", "place"], cut(rows)
     entity = c("type").isin("actor", "location", "item")
     # One source a record, but for episodes: all their sources must exist, and one be writable.
     each = rows.select(*own, F.explode(F.arrays_zip("sources", "excerpts")).alias("e")).select(*own, "e.sources", "e.excerpts").withColumnsRenamed({"sources": "source_ref", "excerpts": "excerpt"})
@@ -113,10 +114,30 @@ def validated(rows: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("base", base).withColumn("at", F.struct("rank", "place")).withColumn("space", space)
     first = F.min(F.when(c("base").isNull(), c("at"))).over(Window.partitionBy(key, "space", "local_id"))
     again = ~blank & (c("unknown") == 0) & F.coalesce(first < c("at"), F.lit(False))
-    rows = rows.withColumn("base", F.when(again, "duplicate_proposal").otherwise(c("base")))
+    rows = cut(rows.withColumn("base", F.when(again, "duplicate_proposal").otherwise(c("base"))))
     taken = rows.where(entity & c("base").isNull()).select(key, c("local_id").alias("ref"), c("name").alias("ref_name"), c("aliases").alias("ref_aliases"))
     refs = rows.where(c("base").isNull() & ~entity).select(*own, "held", F.explode("refs").alias("ref")).where(~c("ref").isin(EVERYWHERE)).join(taken, [key, "ref"], "left")
     said = F.exists(F.concat(F.array("ref_name"), "ref_aliases"), lambda n: (n != "") & F.contains(c("held"), n))
     bad = refs.groupBy(*own).agg(F.max(c("ref_name").isNull()).alias("absent"), F.max(~F.coalesce(said, F.lit(True))).alias("unsaid"))
     late = F.when(c("absent"), "invalid_reference").when(c("unsaid"), "entity_ref_unsupported")
     return rows.join(bad, own, "left").withColumn("reason", F.coalesce("base", late)).drop("base", "at", "space", "held", "lost", "writable", "verbatim", "absent", "unsaid")
+
+
+def materialized(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(facts, observations) of accepted claims in `rows` (``validated``).
+
+    ``facts`` is (key, fact_id, kind, predicate_key, content, source_ref, excerpt, confidence, episode): one a claim, `episode` the place of the accepted episode
+    that it names.  ``observations`` is (key, fact_id, owner_ref): whoever a fact is about or who takes part in its episode, if accepted as a person or known
+    everywhere, once each.
+    """
+    ok = cut(rows.where("reason is null"))
+    episodes = ok.where("type = 'episode'").select(key, c("local_id").alias("episode_ref"), c("place").cast("long").alias("episode"), c("refs").alias("episode_refs"))
+    claims = ok.where("type = 'claim'").drop("episode", "episode_refs").join(episodes, [key, "episode_ref"], "left").withColumn("source_ref", F.get("sources", F.lit(0)))
+    identity = F.concat_ws("|", c(key).cast("string"), c("place").cast("string"), "kind", "predicate_key", "content", "source_ref")
+    claims = claims.withColumn("fact_id", F.concat(F.lit("fact:"), F.md5(identity.cast("binary"))))
+    facts = claims.select(key, "fact_id", "kind", "predicate_key", "content", "source_ref", F.get("excerpts", F.lit(0)).alias("excerpt"), "confidence", "episode")
+    refs = F.array_distinct(F.concat("refs", F.coalesce("episode_refs", F.array().cast("array<string>"))))
+    asked = claims.select(key, "fact_id", F.explode(refs).alias("owner_ref"))
+    people = ok.where("type = 'actor'").select(key, c("local_id").alias("owner_ref"), F.lit(True).alias("person"))
+    known = asked.join(people, [key, "owner_ref"], "left").where(c("person") | c("owner_ref").isin(EVERYWHERE))
+    return facts, known.select(key, "fact_id", "owner_ref")

@@ -24,7 +24,7 @@ MADE = {
     ),
     "claims": (
         "turn >= 0",
-        "concat('{{\"localId\":\"c', turn % 6, '\",\"kind\":\"', {k}, '\",\"predicateKey\":\"', case when turn = 5 then ' ' else 'p' end, '\",\"subjectRef\":\"', case when turn % 2 = 0 then 'a0' else '' end, '\",\"objectRef\":\"', case when turn % 4 = 3 then 'l1' else '' end, '\",\"content\":\"', {n}, ' is so\",{common}}}')".format(
+        "concat('{{\"localId\":\"c', turn % 6, '\",\"kind\":\"', {k}, '\",\"predicateKey\":\"', case when turn = 5 then ' ' else 'p' end, '\",\"subjectRef\":\"', case when turn % 2 = 0 then 'a0' else '' end, '\",\"objectRef\":\"', case when turn % 4 = 3 then 'l1' else '' end, '\",\"content\":\"', {n}, ' is so\",\"episodeLocalId\":\"', case when turn % 3 > 0 then concat('e', turn % 4) else '' end, '\",{common}}}')".format(
             k=pick("(conv_id + turn)", [*KINDS, "rumour"]), n=NAME, common=COMMON
         ),
     ),
@@ -65,7 +65,7 @@ x as materialized ({' union all '.join(f"select chat_key, '{P.COLLECTIONS[n]}' a
 f as (select chat_key, type, rank, place, {_GET.format('localId')} as local_id, coalesce({_GET.format('displayName')}, '') as name, case when type = 'episode' then json_extract_string(r, '$.evidenceSpanIds[*]') else [{_GET.format('evidenceSpanId')}] end as spans,
  json_extract_string(r, '$.aliases[*]') as aliases, {_GET.format('confidence')}::double as confidence, {_GET.format('kind')} as kind, {_GET.format('predicateKey')} as predicate_key, case when type = 'episode' then {_GET.format('summary')} else {_GET.format('content')} end as content,
  case when type = 'episode' then list_distinct(json_extract_string(r, '$.participantRefs[*]') || json_extract_string(r, '$.presentRefs[*]')) else list_filter([{_GET.format('subjectRef')}, {_GET.format('objectRef')}, case when type = 'inventory' then {_GET.format('itemRef')} end], lambda v: v is not null and v <> '') end as refs,
- case when type = 'inventory' and {_GET.format('operation')} <> 'remove' and {_GET.format('precision')} <> 'unknown' then {_GET.format('amount')}::double end as amount from x),
+ case when type = 'inventory' and {_GET.format('operation')} <> 'remove' and {_GET.format('precision')} <> 'unknown' then {_GET.format('amount')}::double end as amount, nullif({_GET.format('episodeLocalId')}, '') as episode_ref from x),
 given as materialized (select {GIVEN} from conversations), source as materialized (select {WRITTEN} from conversations),
 sp as (select chat_key, type, place, unnest(spans) as span_id, generate_subscripts(spans, 1) as n from f),
 m as (select sp.chat_key, sp.type, sp.place, count(*) filter (g.span_id is null) as unknown, coalesce(list(g.source_ref order by n) filter (g.span_id is not null), []) as refs_, coalesce(list(g.text order by n) filter (g.span_id is not null), []) as excerpts,
@@ -93,16 +93,36 @@ def capture_rejections(spark, sf_dir):
 ENTITIES = "type in ('actor', 'location', 'item')"
 
 
-@query(f"""with {RECORDS}, b as (select *, case when {ENTITIES} then 'entity' else type end as space, coalesce(local_id, '') = '' or ({ENTITIES} and trim(name) = '') as blank from e),
+VERDICTS = f"""{RECORDS}, b as (select *, case when {ENTITIES} then 'entity' else type end as space, coalesce(local_id, '') = '' or ({ENTITIES} and trim(name) = '') as blank from e),
 c as (select *, case when unknown > 0 then 'schema_validation_failed' when blank then 'invalid_shape' when len(source_list) = 0 or lost > 0 or not coalesce(writable, false) then 'invalid_reference' when type = 'episode' and length(coalesce(content, '')) < 6 then 'invalid_shape'
  when type <> 'episode' and not verbatim then 'excerpt_mismatch' when type = 'item' and not contains(excerpts[1], name) then 'excerpt_mismatch' when type = 'claim' and kind not in ({', '.join(f"'{k}'" for k in KINDS)}) then 'invalid_enum'
  when type <> 'episode' and not coalesce(confidence between 0 and 1, false) then 'invalid_confidence' when type = 'claim' and (length(content) not between 6 and 280 or trim(predicate_key) = '') then 'invalid_shape' end as base from b),
 d as materialized (select *, case when not blank and unknown = 0 and exists (select 1 from c o where o.chat_key = c.chat_key and o.space = c.space and o.local_id = c.local_id and o.base is null and (o.rank, o.place) < (c.rank, c.place)) then 'duplicate_proposal' else base end as base2 from c),
 r as (select chat_key, type, place, held, unnest(refs) as ref from d where base2 is null and space <> 'entity'),
 k as (select r.chat_key, r.type, r.place, bool_or(t.local_id is null) as absent, bool_or(t.local_id is not null and not ((t.name <> '' and contains(r.held, t.name)) or len(list_filter(t.aliases, lambda a: a <> '' and contains(r.held, a))) > 0)) as unsaid
- from r left join (select * from d where space = 'entity' and base2 is null) t on t.chat_key = r.chat_key and t.local_id = r.ref where ref not in ('world', 'narrator', 'player') group by all)
-select d.chat_key, d.type, d.place::bigint as place, coalesce(base2, case when absent then 'invalid_reference' when unsaid then 'entity_ref_unsupported' end, 'accepted') as verdict from d left join k using (chat_key, type, place)""")
+ from r left join (select * from d where space = 'entity' and base2 is null) t on t.chat_key = r.chat_key and t.local_id = r.ref where ref not in ('world', 'narrator', 'player') group by all),
+v as materialized (select d.*, coalesce(base2, case when absent then 'invalid_reference' when unsaid then 'entity_ref_unsupported' end, 'accepted') as verdict from d left join k using (chat_key, type, place)),
+claimed as (select v.*, ep.place as episode, ep.refs as episode_refs, concat('fact:', md5(concat_ws('|', v.chat_key::varchar, v.place::varchar, v.kind, v.predicate_key, v.content, v.source_list[1]))) as fact_id from v
+ left join (select chat_key, local_id, place, refs from v where type = 'episode' and verdict = 'accepted') ep on ep.chat_key = v.chat_key and ep.local_id = v.episode_ref where type = 'claim' and verdict = 'accepted')"""
+
+
+@query(f"with {VERDICTS} select chat_key, type, place::bigint as place, verdict from v")
 def capture_verdicts(spark, sf_dir):
     """Every record of all six collections: accepted, or the first rule that rejects it."""
     rows, sources, _ = records(spark, sf_dir)
     return P.validated(rows, sources, "chat_key").select("chat_key", "type", long(c("place")).alias("place"), F.coalesce("reason", F.lit("accepted")).alias("verdict"))
+
+
+@query(f"with {VERDICTS} select chat_key, fact_id, kind, content, source_list[1] as source_ref, excerpts[1] as excerpt, confidence, episode::bigint as episode from claimed")
+def captured_facts(spark, sf_dir):
+    """Facts of accepted claims, with their evidence and episode."""
+    rows, sources, _ = records(spark, sf_dir)
+    return P.materialized(P.validated(rows, sources, "chat_key"), "chat_key")[0].drop("predicate_key")
+
+
+@query(f"""with {VERDICTS}, o as (select distinct chat_key, fact_id, unnest(refs || coalesce(episode_refs, [])) as owner_ref from claimed)
+select o.* from o where owner_ref in ('world', 'narrator', 'player') or exists (select 1 from v where v.chat_key = o.chat_key and type = 'actor' and verdict = 'accepted' and local_id = owner_ref)""")
+def captured_observations(spark, sf_dir):
+    """Who observed captured facts."""
+    rows, sources, _ = records(spark, sf_dir)
+    return P.materialized(P.validated(rows, sources, "chat_key"), "chat_key")[1]

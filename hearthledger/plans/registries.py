@@ -15,7 +15,8 @@ EDITS = [
     "concat(case when event_id % 5 = 0 then ' N' else 'n' end, event_id * 11 % 47)  as alias",
     f"case when {pick('(event_id * 5 % 13)', ['', '', '', '', 'u', '', '', '', '', '', 'u', '', ''])} = 'u' then concat('', event_id - event_id % 12 - 12) when event_id % 17 = 3 then null else concat('a', event_id * 3 % 29) end as target",
 ]
-SQL = f"""with recursive ed as (select {', '.join(EDITS)} from events), mo as (select unnest({MOMENTS})::bigint as moment),
+def replay_sql(table: str, edits: list[str], moments: list[int]) -> str:
+    return f"""with recursive ed as (select {', '.join(edits)} from {table}), mo as (select unnest({moments})::bigint as moment),
 un as (select scope, target::bigint as version, min(version) as gone from ed where action = 'undo' and target is not null group by all),
 li as materialized (select ed.* exclude (alias), nullif(lower(trim(alias)), '') as alias, moment from ed left join un using (scope, version), mo where action <> 'undo' and version <= moment and (gone is null or gone > moment)),
 na as (select scope, moment, alias, arg_max(case when action = 'correct' then target else owner_id end, version) as owner_id from li where alias is not null and (action = 'discover' or (action = 'correct' and target is not null)) group by all),
@@ -27,7 +28,24 @@ select na.scope, na.moment, alias, na.owner_id, root, (s1.owner_id is not null o
  left join su s1 on s1.scope = na.scope and s1.moment = na.moment and s1.owner_id = na.owner_id left join su s2 on s2.scope = na.scope and s2.moment = na.moment and s2.owner_id = root"""
 
 
-@query(SQL)
+@query(replay_sql("events", EDITS, MOMENTS))
 def alias_history(spark, sf_dir):
     """Whose name each alias is at stated moments of a log of edits: names found, corrected, merged, split, undone."""
     return R.replayed(read(spark, sf_dir, "events").selectExpr(*EDITS), MOMENTS)
+
+
+PLACES = [
+    "o_custkey % 9 as scope",
+    "o_orderkey as version",
+    f"{pick('(o_orderkey * 3 % 11)', ['discover', 'discover', 'merge', 'correct', 'discover', 'undo', 'split', 'discover', 'merge', 'confirm', 'discover'])} as action",
+    "concat('l', o_orderkey * 5 % 23) as owner_id",
+    "concat(case when o_orderkey % 4 = 0 then ' Hall ' else 'hall ' end, o_custkey % 37) as alias",
+    f"case when {pick('(o_orderkey * 3 % 11)', ['', '', '', '', '', 'u', '', '', '', '', ''])} = 'u' then concat('', o_orderkey - 20) else concat('l', o_orderkey * 7 % 19) end as target",
+]
+SEEN = [400, 3_000, 9_000, 200_000]
+
+
+@query(replay_sql("orders", PLACES, SEEN))
+def location_history(spark, sf_dir):
+    """Which place each name of one is at stated moments: places share the replay of edits with people."""
+    return R.replayed(read(spark, sf_dir, "orders").selectExpr(*PLACES), SEEN)

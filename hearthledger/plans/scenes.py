@@ -115,3 +115,11 @@ def evidence_spans(spark, sf_dir):
     """Citable spans of all facts' texts; tests hold them against a plain loop."""
     ship(spark)
     return S.evidence_spans(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"""with {STORIES}, o as (select chat_key, owner_id, arg_min(name, (-confidence, name)) as label from names group by all),
+k as (select id, chat_key, owner_id, content, name from story join names using (chat_key)), h as (select chat_key, owner_id, min(id) as first_source from k where {HOLDS} group by all)
+select chat_key, owner_id, label, first_source is not null as referenced, first_source, row_number() over (partition by chat_key order by first_source is not null desc, label, owner_id) as rank from o left join h using (chat_key, owner_id)""")
+def reference_directory(spark, sf_dir):
+    """Owners that a chat's sources may refer to, those whom they name first."""
+    return S.directory(story(spark, sf_dir), names(spark, sf_dir))
