@@ -70,3 +70,20 @@ def test_each_stage_and_the_whole(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= packing.SEQUENCE
+
+
+def test_odd_rows_pass_through_all_stages(spark, tmp_path):
+    """Nulls in any column, repeated rows, a long text, extra columns with names of the stages' own, and no rows at all."""
+    text = " ".join(f"word{i} of the and to that" for i in range(40)) + "."
+    long_ = " ".join(f"and the {i} is of that to term{i}" for i in range(20_000))
+    rows = [(1, text, "a", 1), (1, text, "a", 1), (2, None, "b", 2), (None, text + " more", None, None), (3, "", "b", 3), (4, long_, "a", 4), (None, None, None, None)]
+    docs = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, source string, n_chars long, component_id string, take long")
+    for given in (docs, docs.limit(0)):
+        now = given
+        for name, stage in P.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == docs.columns, name
+        pieces = P.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+        drawn = [r.doc_id for r in now.collect()]
+        assert set(drawn) == {r.doc_id for r in pieces}
+        assert (not drawn) if given is not docs else {1, 4, None} >= set(drawn) >= {4}
