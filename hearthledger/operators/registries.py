@@ -78,3 +78,51 @@ def replayed(edits: DataFrame, moments: list[int]) -> DataFrame:
     out = names.join(ends, ["scope", "moment", "owner_id"], "left").withColumn("root", F.coalesce("root", "owner_id"))
     out = out.join(confirmed, ["scope", "moment", "owner_id"], "left").join(confirmed.select("scope", "moment", c("owner_id").alias("root"), c("sure").alias("root_sure")), ["scope", "moment", "root"], "left")
     return out.select("scope", "moment", "alias", "owner_id", "root", F.coalesce("sure", "root_sure", F.lit(False)).alias("confirmed"))
+
+
+INTRODUCES = r"(?:我叫|我的名字是|名叫|自称)[“「『]?([一-鿿A-Za-z][一-鿿A-Za-z0-9·_-]{1,31})[”」』]?"  # fixed values: how one gives one's name
+
+
+def provisional_edits(proposals: DataFrame, sources: DataFrame) -> DataFrame:
+    """Edits (scope, version, action, owner_id, alias, target) that proposed persons of a scene make once texts use them, for ``replayed``.
+
+    `proposals` is (scope, name, aliases), `sources` is (scope, version, content).  A proposal is discovered, as a provisional owner, in the first source that
+    holds its name or an alias.  Where a source gives a name by itself (``INTRODUCES``) while exactly one provisional owner of the scene waits, that one is
+    it: merged into the owner of that name, who is confirmed, or only confirmed where the name is its own.  A second one that begins to wait before the first
+    is known ends this for the scene, since nobody can tell which is meant.  Of one source, discoveries come first, by owner.  Versions are three times the source's, so that a
+    merge comes after the discovery of its target.
+    """
+    owner = lambda prefix, name: F.concat(F.lit(prefix), c("scope").cast("string"), F.lit(":"), F.md5(F.lower(F.trim(name)).cast("binary")))
+    bare = F.regexp_replace("name", "[的一名个穿着身]", "")  # fixed values: words of description, without which a name may stand
+    said = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")), F.when(F.length(bare) >= 2, F.array(bare)).otherwise(F.array().cast("array<string>")))
+    known = proposals.where("name <> ''").select("scope", "name", F.explode(F.array_distinct(said)).alias("said")).where("said <> ''")
+    met = sources.join(known, "scope").where(F.contains("content", "said")).groupBy("scope", "name").agg(F.min("version").alias("version"))
+    met = met.select("scope", "version", F.lit(0).alias("kind"), owner("provisional:", c("name")).alias("owner_id"), "name")
+    given = sources.select("scope", "version", F.trim(F.regexp_extract("content", INTRODUCES, 1)).alias("name")).where("name <> ''")
+    given = given.select("scope", "version", F.lit(1).alias("kind"), owner("actor:", c("name")).alias("owner_id"), "name")
+    by = Window.partitionBy("scope").orderBy("version", "kind", "owner_id")
+    seen = met.unionByName(given).withColumn("before", F.lag("kind").over(by)).withColumns({"waiting": F.lag("owner_id").over(by), "called": F.lag("name").over(by)})
+    seen = seen.withColumn("lost", F.max(F.coalesce((c("kind") == 0) & (c("before") == 0), F.lit(False))).over(by))
+    found = seen.where("kind = 0").select("scope", (c("version") * 3).alias("version"), F.lit("discover").alias("action"), "owner_id", c("name").alias("alias"), F.lit(None).cast("string").alias("target"))
+    knows = seen.where("kind = 1 and before = 0 and not lost")
+    own = F.lower(F.trim("called")) == F.lower(F.trim("name"))
+    edit = lambda n, action, of, alias, target: F.struct((c("version") * 3 + n).alias("version"), F.lit(action).alias("action"), of.alias("owner_id"), alias.cast("string").alias("alias"), target.cast("string").alias("target"))
+    none = F.lit(None)
+    other = F.array(edit(0, "discover", c("owner_id"), c("name"), none), edit(1, "confirm", c("owner_id"), none, none), edit(2, "merge", c("waiting"), none, c("owner_id")))
+    same = F.array(edit(1, "confirm", c("waiting"), none, none))
+    return found.unionByName(knows.select("scope", F.inline(F.when(own, same).otherwise(other))))
+
+
+def prefetched(sources: DataFrame, known: DataFrame, most: int = 50) -> DataFrame:
+    """(chat_key, kind, id, reference): what a chat's texts name of what is known, numbered within its kind, `most` at most.
+
+    `known` is (chat_key, kind, id, names, place): a record is named if a text holds one of its names (none is empty), and comes by `place`, then id.
+    References are the kind's first letter in upper case and a number of two digits or more.
+    """
+    names = known.select("chat_key", "kind", "id", "place", F.explode(F.array_distinct("names")).alias("name")).where("name <> ''")
+    met = names.join(sources.select("chat_key", F.coalesce("content", F.lit("")).alias("content")), "chat_key").where(F.contains(F.lower("content"), F.lower("name")))
+    once = met.groupBy("chat_key", "kind", "id").agg(F.min("place").alias("place"))
+    rank = F.row_number().over(Window.partitionBy("chat_key", "kind").orderBy("place", "id"))
+    once = once.withColumn("rank", rank).where(c("rank") <= most)
+    number = F.when(c("rank") < 10, F.concat(F.lit("0"), c("rank").cast("string"))).otherwise(c("rank").cast("string"))
+    return once.select("chat_key", "kind", "id", F.concat(F.upper(F.substring("kind", 1, 1)), number).alias("reference"))

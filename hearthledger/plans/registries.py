@@ -49,3 +49,38 @@ SEEN = [400, 3_000, 9_000, 200_000]
 def location_history(spark, sf_dir):
     """Which place each name of one is at stated moments: places share the replay of edits with people."""
     return R.replayed(read(spark, sf_dir, "orders").selectExpr(*PLACES), SEEN)
+
+
+# Scenes are conversations: persons are proposed by words of their turns, and turns end with a name given now and then.
+WORD = "regexp_extract(coalesce(text, ''), '[A-Za-z]{4,}', 0)"
+SPOKEN = "concat(coalesce(text, ''), case when (conv_id + turn) % 3 = 1 then concat('。我叫', regexp_extract(coalesce(text, ''), '^[A-Za-z]{3,}', 0), 'x。') when (conv_id + turn) % 7 = 2 then concat('。名叫“', regexp_extract(coalesce(text, ''), '[A-Za-z]{4,}', 0), '”。') else '' end)"
+PROPOSED = "(conv_id + turn) % 4 = 0 or turn = 5"
+
+
+@query(f"""with p as (select distinct conv_id as scope, {WORD} as name from conversations where {PROPOSED}), s as (select conv_id as scope, turn as version, {SPOKEN} as content from conversations),
+m as (select scope, min(version) as version, 0 as kind, concat('provisional:', scope, ':', md5(lower(trim(name)))) as owner_id, name from s join p using (scope) where name <> '' and contains(content, name) group by scope, name),
+i as (select scope, version, 1 as kind, trim(regexp_extract(content, '{R.INTRODUCES}', 1)) as name from s), g as (select scope, version, kind, concat('actor:', scope, ':', md5(lower(name))) as owner_id, name from i where name <> ''),
+w as (select *, lag(kind) over b as before, lag(owner_id) over b as waiting, lag(name) over b as called from (select * from m union all select * from g) window b as (partition by scope order by version, kind, owner_id)),
+l as (select *, bool_or(coalesce(kind = 0 and before = 0, false)) over (partition by scope order by version, kind, owner_id) as lost from w), k as (select *, lower(trim(called)) = lower(trim(name)) as own from l where kind = 1 and before = 0 and not lost)
+select scope, version * 3 as version, 'discover' as action, owner_id, name as alias, null::varchar as target from l where kind = 0 union all select scope, version * 3, 'discover', owner_id, name, null from k where not own
+union all select scope, version * 3 + 1, 'confirm', case when own then waiting else owner_id end, null, null from k union all select scope, version * 3 + 2, 'merge', waiting, null, owner_id from k where not own""")
+def provisional_actors(spark, sf_dir):
+    """Edits of proposed persons: found in texts, and known once one gives a name while only one waits."""
+    t = read(spark, sf_dir, "conversations")
+    proposals = t.where(PROPOSED).selectExpr("conv_id as scope", f"{WORD} as name", "cast(array() as array<string>) as aliases").distinct()
+    return R.provisional_edits(proposals, t.selectExpr("conv_id as scope", "turn as version", f"{SPOKEN} as content"))
+
+
+HELD = "select o_custkey % 100 as chat_key, case o_orderkey % 3 when 0 then 'actor' when 1 then 'location' else 'object' end as kind, o_orderkey as id, {names} as names, o_orderkey * 37 % 1009 as place from orders"
+NAMES = "concat(substring('the of and in be hat eron thing', o_orderkey % 23 + 1, 4), '')", "concat('q', o_orderkey % 50)"
+
+
+@query(f"""with known as ({HELD.format(names=f"[{', '.join(NAMES)}]")}), n as (select chat_key, kind, id, place, unnest(list_distinct(names)) as name from known),
+h as (select n.chat_key, kind, id, min(place) as place from n join conversations b on b.conv_id = n.chat_key where name <> '' and contains(lower(coalesce(text, '')), lower(name)) group by all)
+select chat_key, kind, id, concat(upper(kind[1]), case when rank < 10 then '0' else '' end, rank) as reference from (select *, row_number() over (partition by chat_key, kind order by place, id) as rank from h) where rank <= 50""")
+def context_prefetch(spark, sf_dir):
+    """What the texts of a chat name of what is known of it, as numbered references."""
+    known = read(spark, sf_dir, "orders").selectExpr(
+        "o_custkey % 100 as chat_key", "case o_orderkey % 3 when 0 then 'actor' when 1 then 'location' else 'object' end as kind", "o_orderkey as id", f"array({', '.join(NAMES)}) as names", "o_orderkey * 37 % 1009 as place"
+    )
+    return R.prefetched(read(spark, sf_dir, "conversations").selectExpr("conv_id as chat_key", "text as content"), known)
