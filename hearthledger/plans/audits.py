@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthledger import ship
 from hearthledger.operators import audits as A
+from hearthledger.operators import usage as U
 from hearthledger.operators import graph
 from hearthledger.plans.catalogue import OK_SQL, TRACES, c, long, query, r6, read, recallable
 from hearthledger.sources.adapters import FACTS, facts, pick, view, view_sql
@@ -254,22 +255,38 @@ def rejection_replacement(spark, sf_dir):
     return old.unionByName(r.where("status = 'pending'").join(w, "source_ref", "left_semi").select("id", "source_ref", F.lit("new").alias("origin")))
 
 
-@query(f"""{FACTS}, g as (select *, {pick('id', ['u1', 'u2', 'u3'])} as owner_id, lower(substring(content, 1, 12)) as mark from facts where length(content) >= 12), m as (select mark, count(distinct owner_id) as owners, min(id) as first_id from g group by mark)
-select g.owner_id, count(*) as leaks from g join m using (mark) where owners > 1 and g.id <> first_id group by g.owner_id""")
+# Outputs of a chat, line by line: some name a speaker; memories are sentences of the chat's turns.
+OWNERS = [("u0", "Ann"), ("u1", "Bob"), ("u2", "Cy Lo")]
+OUTPUT = "concat(case when turn % 2 = 0 then 'Ann: ' else '**Bob**： ' end, split_part(coalesce(text, ''), '.', 1), chr(10), '[cy lo]：', split_part(coalesce(text, ''), '.', 2), chr(10), split_part(coalesce(text, ''), '.', 3), chr(10), case when turn % 3 = 0 then 'Nobody: x' else '' end)"
+MARKER = "trim(split_part(coalesce(text, ''), '.', cast(1 + (conv_id + turn * 2) % 4 as int)))"
+SAYS = f"""o as (select conv_id * 1000 + turn as output_id, conv_id as chat_key, {OUTPUT} as text from conversations), p as (select conv_id * 1000 + turn as packet_id, conv_id as chat_key, concat('u', (conv_id + turn) % 3) as owner_id, {MARKER} as marker from conversations),
+l as (select output_id, chat_key, unnest(regexp_split_to_array(text, '\\r?\\n')) as line, generate_subscripts(regexp_split_to_array(text, '\\r?\\n'), 1) as n from o),
+w as (select output_id, chat_key, n, lower(regexp_replace(regexp_extract(line, '{U.LABEL}', 1), '[\\s*]+', '', 'g')) as name, regexp_extract(line, '{U.LABEL}', 2) as words from l),
+t as (select output_id, chat_key, owner_id, string_agg(words, chr(10) order by n) as text from w join (values {', '.join(f"('{o}', '{n.lower().replace(' ', '')}')" for o, n in OWNERS)}) k(owner_id, name) using (name) group by all)"""
+
+
+def told(spark, sf_dir):
+    b = read(spark, sf_dir, "conversations")
+    outputs = b.selectExpr("conv_id * 1000 + turn as output_id", "conv_id as chat_key", f"{OUTPUT} as text")
+    packets = b.selectExpr("conv_id * 1000 + turn as packet_id", "conv_id as chat_key", "concat('u', (conv_id + turn) % 3) as owner_id", f"{MARKER} as marker")
+    owners = b.select(c("conv_id").alias("chat_key")).distinct().select("chat_key", F.inline(F.array(*(F.struct(F.lit(o).alias("owner_id"), F.lit(n).alias("name")) for o, n in OWNERS))))
+    return outputs, U.spoken(outputs, owners), packets
+
+
+@query(f"with {SAYS} select distinct output_id, t.owner_id, p.owner_id as leaked_from, marker from t join p on p.chat_key = t.chat_key and p.owner_id <> t.owner_id and length(marker) >= 6 and contains(text, marker)")
 def knowledge_leaks(spark, sf_dir):
-    """Markers of one owner's memories that turn up with another; owners meet by marker."""
-    g = view(spark, sf_dir, "facts").where("length(content) >= 12").select("id", F.expr(pick("id", ["u1", "u2", "u3"])).alias("owner_id"), F.lower(F.substring("content", 1, 12)).alias("mark"))
-    m = g.groupBy("mark").agg(F.countDistinct("owner_id").alias("owners"), F.min("id").alias("first_id"))
-    return g.join(m, "mark").where("owners > 1 and id <> first_id").groupBy("owner_id").agg(F.count("*").alias("leaks"))
+    """Memories of one owner that another one of its chat says word for word."""
+    _, said, packets = told(spark, sf_dir)
+    return U.leaks(said, packets)
 
 
-@query("""select item_id, count(*) as explicit, min(doc_id) as first_id from benchmark b join documents d on length(b.text) >= 24 and contains(d.text, b.text) group by item_id""")
+@query(f"""with {SAYS}, e as (select distinct packet_id from p join t on t.chat_key = p.chat_key and t.owner_id = p.owner_id and length(marker) >= 6 and contains(text, marker)), i as (select distinct packet_id from p join o on o.chat_key = p.chat_key and length(marker) >= 8 and contains(text, marker)),
+u as (select packet_id, case when e.packet_id is not null then 'explicit' when i.packet_id is not null then 'implicit' else 'not_used' end as usage from (select distinct packet_id from p) left join e using (packet_id) left join i using (packet_id))
+select packet_id, usage, case usage when 'explicit' then 1.0 when 'implicit' then 0.8 else 0.0 end::double as confidence from u""")
 def memory_usage(spark, sf_dir):
-    """Memories that outputs quote word for word, with the first output."""
-    from hearthledger.plans.workflows import evidence_offsets
-
-    words = read(spark, sf_dir, "benchmark").where("length(text) >= 24").select("item_id")
-    return evidence_offsets(spark, sf_dir).join(words, "item_id", "left_semi").groupBy("item_id").agg(F.count("*").alias("explicit"), F.min("doc_id").alias("first_id"))
+    """How outputs used each memory: by its owner's own words, anyhow, or not."""
+    outputs, said, packets = told(spark, sf_dir)
+    return U.used(outputs, said, packets)
 
 
 @query(f"{FACTS} select id, substring(content, greatest(1, strpos(content, ' the ') - 10), 40) as preview from facts where contains(content, ' the ')")
