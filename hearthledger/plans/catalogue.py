@@ -103,18 +103,24 @@ LEXICAL_SQL = f"""{FACTS}, {BM25}, e as (select query_id, f.*, s.score from fact
 b as (select query_id, id, {BLEND} as blend from e)"""
 
 
-def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, id, blend, anchor): words, entities, scope, time and kind of all facts that hold a word of a question."""
+def weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts that hold a word of a question, with `ineligible`, `entity`, `context` and their blended score `blend`."""
     held = [F.expr(e.format(a="array").replace("array()", "cast(array() as array<string>)")).alias(n) for n, e in SCOPES.items()]
     keys = F.array_distinct(F.array("subject_key", "predicate_key", F.coalesce("object_key", "subject_key")))
-    ok = facts(spark, sf_dir).where(retrieval.ineligible_reason(None, NOW).isNull())
-    ok = ok.select("id", "valid_from", "valid_until", "updated_at", "kind", "stable_anchor", "state_ref", keys.alias("keys"), *held)
-    j = lexical(spark, sf_dir).join(ok, "id")
-    bounded = c("valid_from").isNotNull() | c("valid_until").isNotNull()
+    f = facts(spark, sf_dir).withColumn("ineligible", retrieval.ineligible_reason(None, NOW))
+    f = f.select("id", "chat_key", "subject_key", "predicate_key", "valid_from", "valid_until", "updated_at", "kind", "stable_anchor", "state_ref", "ineligible", keys.alias("keys"), *held)
+    j = lexical(spark, sf_dir).join(f, "id")
     entity = retrieval.overlap_ratio(c("keys"), F.array(*map(F.expr, ABOUT)))
     scope = retrieval.scope_share([c(n) for n in WITHIN], [F.array(F.expr(q)) for q in WITHIN.values()])
-    value = retrieval.blended(c("score"), entity, scope, bounded, F.lit(NOW) - c("updated_at"), M.kind_affinity(c("kind"), ["event", "state"]), c("stable_anchor"), c("state_ref"))
-    return j.select("query_id", "id", r6(value).alias("blend"), c("stable_anchor").alias("anchor"))
+    bounded = c("valid_from").isNotNull() | c("valid_until").isNotNull()
+    j = j.withColumns({"entity": entity, "context": scope})
+    value = retrieval.blended(c("score"), c("entity"), c("context"), bounded, F.lit(NOW) - c("updated_at"), M.kind_affinity(c("kind"), ["event", "state"]), c("stable_anchor"), c("state_ref"))
+    return j.withColumn("blend", r6(value)).drop("keys", *SCOPES)
+
+
+def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, id, blend, anchor): words, entities, scope, time and kind of all eligible facts that hold a word of a question."""
+    return weighed(spark, sf_dir).where("ineligible is null").select("query_id", "id", "blend", c("stable_anchor").alias("anchor"))
 
 
 @query(f"""{LEXICAL_SQL}, m as (select b.*, stable_anchor as anchor, max(blend) filter (not stable_anchor) over (partition by query_id) as most from b join facts using (id)),

@@ -8,8 +8,9 @@ from hearthledger.functions import memory as M
 from hearthledger.operators import graph, retrieval
 from hearthledger.operators import planning as Q
 from hearthledger.operators import selection as S
-from hearthledger.plans.catalogue import AFFINITY_SQL, BM25, EDGES, LEXICAL_SQL, ORACLE, TOKENS, VECTORS, blended, both_lists, c, query, r6, read, recall_bm25, recall_lexical_topk
-from hearthledger.plans.workflows import LEX, best
+from hearthledger.functions.memory import MUTABLE_KINDS
+from hearthledger.plans.catalogue import AFFINITY_SQL, BLEND, BM25, CONTEXT_SQL, EDGES, ENTITY_SQL, REASON, LEXICAL_SQL, ORACLE, TOKENS, VECTORS, blended, both_lists, weighed, c, query, r6, read, recall_bm25, recall_lexical_topk
+from hearthledger.plans.workflows import LEX, best, overlap_gate
 from hearthledger.sources.adapters import FACTS, facts, view
 
 CHAT = "concat('src', item_id % 20)"
@@ -115,3 +116,18 @@ def topic_matches(spark, sf_dir):
     rows = rows.withColumn("content", F.concat(F.coalesce("content", F.lit("")), F.lit("。s"), c("query_id") % 8, F.lit("是 x")))
     about = S.matches_topic([c("content"), c("subject_key"), c("predicate_key"), c("object_key")], c("terms"))
     return rows.select("query_id", "id", about.alias("on_topic"), S.defines(F.lower("content"), F.transform("terms", lambda t: F.lower(t))).alias("defines"))
+
+
+NEWEST = "{'a': coalesce(valid_from, updated_at), 'b': updated_at, 'd': id}"
+
+
+@query(f"""{FACTS}, {BM25}, st as (select q.query_id, w.id, count(*) as strong from (select distinct item_id as query_id, unnest({TOKENS}) as token from benchmark) q join (select distinct doc_id as id, unnest({TOKENS}) as token from documents) w using (token) where len(token) >= 5 group by all having count(*) >= 2),
+x0 as (select query_id, f.*, s.score from facts f join s on f.id = s.id), x as materialized (select *, {REASON} as ineligible, {ENTITY_SQL} as entity, {CONTEXT_SQL} as context, {BLEND} as blend, {NEWEST} as newest from x0),
+sn as (select query_id, chat_key, subject_key, max(newest) as snapshot from x where ineligible is null and state_ref group by all), hd as (select query_id, chat_key, kind, subject_key, predicate_key, max(newest) as head from x where ineligible is null and kind in ('state', 'location') group by all),
+r as (select x.query_id, x.id, blend, updated_at, case when ineligible is not null then ineligible when kind in ('state', 'location') and not state_ref and coalesce(snapshot > newest, false) then 'snapshot' when kind in ('state', 'location') and coalesce(head > newest, false) then 'slot'
+ when coalesce(strong, 0) < 2 and entity <= 0 and context <= 0 then 'overlap' end as reason from x left join sn using (query_id, chat_key, subject_key) left join hd using (query_id, chat_key, kind, subject_key, predicate_key) left join st on st.query_id = x.query_id and st.id = x.id)
+select query_id, id, blend, reason, case when reason is null then row_number() over (partition by query_id, reason is null order by blend desc, updated_at desc, id) end as rank from r""")
+def candidate_decisions(spark, sf_dir):
+    """Every candidate of each question: its score, the gate that bars it, its rank among those that pass."""
+    rows = weighed(spark, sf_dir).drop("score").withColumnRenamed("blend", "score").join(overlap_gate(spark, sf_dir), ["query_id", "id"], "left")
+    return S.decided(rows, list(MUTABLE_KINDS)).select("query_id", "id", c("score").alias("blend"), "reason", "rank")
