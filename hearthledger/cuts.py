@@ -35,4 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
             pass
 
     atexit.register(remove)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.cut = path
+    return again
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that ``cut`` gave and that no later plan reads."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.cut)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

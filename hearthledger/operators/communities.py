@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthledger.cuts import cut
+from hearthledger.cuts import cut, dropped
 
 c = F.col
 DIGITS = 9  # of distances; sums that agree to so many are ties
@@ -22,16 +22,20 @@ def both_ways(edges: DataFrame, group: str) -> DataFrame:
 def distances(arcs: DataFrame, seeds: DataFrame, group: str) -> DataFrame:
     """(group, seed, node, far): the shortest way from each seed to every node that it reaches.
 
-    A round sends on only what became nearer in the round before (Bellman-Ford over a frontier), one equi-join on the node; it ends when nothing did.
+    A round sends on only what became nearer in the round before (Bellman-Ford over a frontier), one equi-join on the node, and writes one table; it
+    ends when nothing became nearer.
     """
-    far = cut(seeds.select(group, c("node").alias("seed"), "node", F.lit(0.0).alias("far")))
-    open_ = far
-    while not open_.isEmpty():
-        sent = open_.join(arcs, [group, "node"]).groupBy(group, "seed", c("other").alias("node")).agg(F.min(F.round(c("far") + c("cost"), DIGITS)).alias("far"))
-        met = sent.withColumnRenamed("far", "new").join(far, [group, "seed", "node"], "left")
-        open_ = cut(met.where("far is null or new < far").select(group, "seed", "node", c("new").alias("far")))
-        far = cut(far.unionByName(open_).groupBy(group, "seed", "node").agg(F.min("far").alias("far")))
-    return far
+    way = [group, "seed", "node"]
+    state = cut(seeds.select(group, c("node").alias("seed"), "node", F.lit(0.0).alias("far"), F.lit(True).alias("nearer")))
+    while not (open_ := state.where("nearer")).isEmpty():
+        sent = open_.join(arcs, [group, "node"]).select(group, "seed", c("other").alias("node"), F.round(c("far") + c("cost"), DIGITS).alias("far"), F.lit(None).cast("double").alias("old"))
+        best = state.select(*way, "far", c("far").alias("old")).unionByName(sent).groupBy(*way).agg(F.min("far").alias("far"), F.min("old").alias("old"))
+        later = cut(best.select(*way, "far", (c("old").isNull() | (c("far") < c("old"))).alias("nearer")))
+        dropped(state)
+        state = later
+    out = state.select(*way, "far")
+    out.cut = state.cut
+    return out
 
 
 def spread_seeds(arcs: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +52,12 @@ def spread_seeds(arcs: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     far = None
     for turn in range(2, MOST + 1):
         more = distances(arcs, new, group)
-        far = more if far is None else cut(far.unionByName(more))
+        if far is not None:
+            whole = cut(far.unionByName(more))
+            dropped(far)
+            dropped(more)
+            more = whole
+        far = more
         near = far.groupBy(group, "node").agg(F.min("far").alias("far"))
         rest = nodes.where(c("want") >= turn).join(seeds.select(group, "node"), [group, "node"], "left_anti").join(near, [group, "node"], "left")
         best = rest.groupBy(group).agg(F.min(F.struct((-F.coalesce("far", F.lit(float("inf")))).alias("a"), (-c("degree")).alias("b"), "node")).alias("x"))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthledger.cuts import cut
+from hearthledger.cuts import cut, dropped
 
 c = F.col
 
@@ -57,7 +57,9 @@ def roots(parents: DataFrame) -> DataFrame:
     way = cut(parents.select(*key, "owner_id", c("parent").alias("far"), F.least("owner_id", "parent").alias("least")))
     for _ in range(math.ceil(math.log2(most + 1)) if most else 0):
         on = way.select(*key, c("owner_id").alias("far"), c("far").alias("next"), c("least").alias("low"))
-        way = cut(way.join(on, [*key, "far"], "left").select(*key, "owner_id", F.coalesce("next", "far").alias("far"), F.least("least", F.coalesce("low", "least")).alias("least")))
+        longer = cut(way.join(on, [*key, "far"], "left").select(*key, "owner_id", F.coalesce("next", "far").alias("far"), F.least("least", F.coalesce("low", "least")).alias("least")))
+        dropped(way)
+        way = longer
     # Whoever still has a way on where a way ends lies in a circle: a walk from there goes around it.
     circle = way.select(*key, c("owner_id").alias("far"), c("least").alias("round"))
     return way.join(circle, [*key, "far"], "left").select(*key, "owner_id", F.coalesce("round", "far").alias("root"))
