@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -72,3 +72,19 @@ def folded(ops: DataFrame, key: str, order: list[str]) -> DataFrame:
     met = rows.withColumn("prefix", F.explode(above("path"))).join(last, [key, "prefix"], "left").groupBy(key, "path", "at", "value").agg(F.max("last").alias("last"))
     stands = met.where(c("last") <= c("at")).join(under, [key, "path"], "left").where(c("inside").isNull() | (c("inside") < c("at")))
     return stands.select(key, "path", "value")
+
+
+def canonical(text: Column) -> Column:
+    """A JSON text in one form: keys in order, without white space; null where it is null or no JSON.  Equal values have equal forms, whatever the order of their keys."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def revisions(states: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """(key, order, same, revision): whether a state says what the one before it in its chat says, and how many different ones came so far.
+
+    The first state is revision 1; a text that is no JSON is a state of its own kind, the same as another such one.
+    """
+    by = Window.partitionBy(key).orderBy(order)
+    rows = states.select(key, order, canonical(c(text)).alias("form")).withColumns({"before": F.lag("form").over(by), "first": F.row_number().over(by) == 1})
+    same = ~c("first") & c("form").eqNullSafe(c("before"))
+    return rows.withColumn("same", same).select(key, order, "same", F.sum((~same).cast("long")).over(by).alias("revision"))

@@ -71,3 +71,14 @@ def latest_variable_state(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(c("user_id").alias("chat_key"), "event_id", s.alias("s")).where(F.try_parse_json("s").isNotNull())
     last = e.groupBy("chat_key").agg(F.max_by("s", "event_id").alias("s"), F.max("event_id").alias("event_id"))
     return last.select("chat_key", "event_id", F.explode(S.leaves(c("s"))).alias("leaf")).select("chat_key", "event_id", F.array_join("leaf.path", " / ").alias("path"), c("leaf.value").alias("state"))
+
+
+ORDERED = "case when event_id % 31 = 7 then 'none' when event_id % 2 = 0 then concat('{\"a\":', cast(floor(event_id / 40) as bigint) % 3, ', \"b\":{\"x\":[1,2],\"y\":', user_id % 2, '}}') else concat('{\"b\": {\"y\":', user_id % 2, ',\"x\":[1, 2]},\"a\":', cast(floor(event_id / 40) as bigint) % 3, '}') end"
+
+
+@query(f"""with e as (select user_id as chat_key, event_id, {ORDERED} as s from events), f as (select chat_key, event_id, case when json_valid(s) then concat(json_extract(s, '$.a'), '|', json_extract(s, '$.b.x[0]'), '|', json_extract(s, '$.b.x[1]'), '|', json_extract(s, '$.b.y')) else '-' end as form from e),
+g as (select *, coalesce(form = lag(form) over (partition by chat_key order by event_id), false) as same from f) select chat_key, event_id, same, (sum((not same)::int) over (partition by chat_key order by event_id))::bigint as revision from g""")
+def state_revisions(spark, sf_dir):
+    """Which states of a chat say something new, whatever the order of their keys."""
+    e = read(spark, sf_dir, "events").selectExpr("user_id as chat_key", "event_id", f"{ORDERED} as s")
+    return S.revisions(e, "chat_key", "event_id", "s")

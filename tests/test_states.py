@@ -187,3 +187,11 @@ def test_verdicts(spark):
         "inventory": [None],
     }
     assert [r.amount for r in rows.where("type = 'inventory'").collect()] == [None]
+
+
+def test_revisions_whatever_the_order_of_keys(spark):
+    texts = ['{"a":1,"b":{"x":[1,2],"y":"z"}}', '{"b": {"y":"z", "x":[1, 2]}, "a":1}', '{"a":1,"b":{"x":[2,1],"y":"z"}}', None, "no json", '{"a":1}', '{"a":"1"}', '{"a":1,"a2":null}']
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)] + [(2, 0, None)], "k int, at int, t string")
+    got = [tuple(r) for r in states.revisions(df, "k", "at", "t").orderBy("k", "at").collect()]
+    same = [False, True, False, False, True, False, False, False]
+    assert got == [(1, i, s, i + 1 - sum(same[: i + 1])) for i, s in enumerate(same)] + [(2, 0, False, 1)]
