@@ -9,8 +9,8 @@ from hearthledger.operators import graph, retrieval
 from hearthledger.operators import planning as Q
 from hearthledger.operators import selection as S
 from hearthledger.functions.memory import MUTABLE_KINDS
-from hearthledger.plans.catalogue import AFFINITY_SQL, BLEND, BM25, CONTEXT_SQL, EDGES, ENTITY_SQL, REASON, LEXICAL_SQL, ORACLE, TOKENS, VECTORS, blended, both_lists, weighed, c, query, r6, read, recall_bm25, recall_lexical_topk
-from hearthledger.plans.workflows import LEX, best, overlap_gate
+from hearthledger.plans.catalogue import AFFINITY_SQL, BLEND, BM25, CONTEXT_SQL, EDGES, ENTITY_SQL, REASON, LEXICAL_SQL, ORACLE, TOKENS, VECTORS, blended, both_lists, weighed, c, query, r6, read, recall_lexical_topk, recalled
+from hearthledger.plans.workflows import LEX, best
 from hearthledger.sources.adapters import FACTS, facts, view
 
 CHAT = "concat('src', item_id % 20)"
@@ -75,8 +75,8 @@ def recall_diversified(spark, sf_dir):
     """What a query finally gets: anchors, rows for its parts or its time, then the best of the rest."""
     q = read(spark, sf_dir, "benchmark").selectExpr("item_id as query_id", f"{ASK} as ask", "item_id % 4 in (1, 2, 3) as historical", "item_id % 4 in (2, 3) as earliest")
     f = view(spark, sf_dir, "facts").selectExpr("id", "updated_at", "floor", "kind", f"{HELD} as held").withColumn("affinity", M.kind_affinity(c("kind"), ["event", "state"]))
-    pool = retrieval.top(blended(spark, sf_dir).join(f.select("id", "updated_at"), "id"), ["query_id"], [F.desc("blend"), F.desc("updated_at"), F.asc("id")], S.POOL, "turn").drop("turn", "updated_at")
-    rows = pool.join(f, "id").join(q, "query_id")
+    pool = retrieval.top(blended(spark, sf_dir), ["query_id"], [F.desc("blend"), F.desc("updated_at"), F.asc("id")], S.POOL, "turn").drop("turn", "updated_at")
+    rows = f.join(retrieval.sent(pool, q), "id").join(q, "query_id")
     hits = S.segment_scores(c("held"), Q.segments_of(c("ask")))
     return S.diversified(rows.select("query_id", "id", c("blend").alias("score"), "updated_at", "floor", "affinity", "anchor", hits.alias("hits"), "historical", "earliest"))
 
@@ -112,7 +112,7 @@ def topic_matches(spark, sf_dir):
     """Which recalled facts are on a question's topic, and which say what the topic is."""
     terms = F.array(F.coalesce(F.get(M.tokens(F.coalesce(c("text"), F.lit(""))), F.lit(2)), F.lit("")), F.concat(F.lit("s"), c("item_id") % 8, F.lit(" ")), F.concat(F.lit("P"), c("item_id") % 13))
     q = read(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), terms.alias("terms"))
-    rows = recall_bm25(spark, sf_dir).select("query_id", "id").join(view(spark, sf_dir, "facts").select("id", "content", "subject_key", "predicate_key", "object_key"), "id").join(q, "query_id")
+    rows = view(spark, sf_dir, "facts").select("id", "content", "subject_key", "predicate_key", "object_key").join(recalled(spark, sf_dir).select("query_id", "id"), "id").join(q, "query_id")
     rows = rows.withColumn("content", F.concat(F.coalesce("content", F.lit("")), F.lit("。s"), c("query_id") % 8, F.lit("是 x")))
     about = S.matches_topic([c("content"), c("subject_key"), c("predicate_key"), c("object_key")], c("terms"))
     return rows.select("query_id", "id", about.alias("on_topic"), S.defines(F.lower("content"), F.transform("terms", lambda t: F.lower(t))).alias("defines"))
@@ -129,5 +129,6 @@ r as (select x.query_id, x.id, blend, updated_at, case when ineligible is not nu
 select query_id, id, blend, reason, case when reason is null then row_number() over (partition by query_id, reason is null order by blend desc, updated_at desc, id) end as rank from r""")
 def candidate_decisions(spark, sf_dir):
     """Every candidate of each question: its score, the gate that bars it, its rank among those that pass."""
-    rows = weighed(spark, sf_dir).drop("score").withColumnRenamed("blend", "score").join(overlap_gate(spark, sf_dir), ["query_id", "id"], "left")
-    return S.decided(rows, list(MUTABLE_KINDS)).select("query_id", "id", c("score").alias("blend"), "reason", "rank")
+    held = ["query_id", "id", "chat_key", "kind", "subject_key", "predicate_key", "updated_at", "valid_from", "state_ref", "entity", "context", "strong", "ineligible", c("blend").alias("score")]
+    fit, barred = (weighed(spark, sf_dir, f"ineligible is {which}").select(*held) for which in ("null", "not null"))
+    return S.decided(fit, list(MUTABLE_KINDS), barred).select("query_id", "id", c("score").alias("blend"), "reason", "rank")

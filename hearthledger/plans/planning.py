@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearthledger.functions import memory as M
 from hearthledger.operators import planning as P
 from hearthledger.operators import selection as S
-from hearthledger.plans.catalogue import ORACLE, TOKENS, c, long, query, r6, read, recall_bm25
+from hearthledger.plans.catalogue import ORACLE, TOKENS, c, long, query, r6, read, recalled
 from hearthledger.sources.adapters import FACTS, SCOPES, pick, view
 
 ASKED = """艾琳和林川是什么关系？他们现在还是朋友吗|林川现在在哪里？他的状态如何|世界规则是什么|之前发生过什么事件，艾琳知不知道|接下来应该如何指挥行动|防护服为什么会被污染；林川是否知道
@@ -142,4 +142,4 @@ def query_signal(spark, sf_dir):
     """Whether a recalled text holds any token of its query."""
     texts = read(spark, sf_dir, "documents").selectExpr("doc_id as id", "lower(text) as held")
     want = read(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), M.tokens(F.coalesce(c("text"), F.lit(""))).alias("ts"))
-    return recall_bm25(spark, sf_dir).select("query_id", "id").join(texts, "id").join(want, "query_id").select("query_id", "id", F.exists("ts", lambda t: F.contains(c("held"), t)).alias("signal"))
+    return texts.join(recalled(spark, sf_dir).select("query_id", "id"), "id").join(want, "query_id").select("query_id", "id", F.exists("ts", lambda t: F.contains(c("held"), t)).alias("signal"))

@@ -78,7 +78,7 @@ def data_revision(spark, sf_dir):
 @query(ORACLE["recall_bm25"].replace("select query_id, id, round(score, 6) as score, rank from r where rank <= 12", "select query_id, id, round(least(1.0, score / 40) * (0.85 + 0.15 * least(1.0, greatest(1.0 / rank, 0.1))), 6)::double as rerank from r where rank <= 12"))
 def rerank_score(spark, sf_dir):
     near = F.least(F.lit(1.0), F.greatest(1.0 / c("rank"), F.lit(0.1)))
-    ranked = retrieval.top(lexical(spark, sf_dir), ["query_id"], [F.desc(r6(c("score"))), F.asc("id")], 12)
+    ranked = retrieval.top(lexical(spark, sf_dir, 12), ["query_id"], [F.desc(r6(c("score"))), F.asc("id")], 12)
     return ranked.select("query_id", "id", r6(F.least(F.lit(1.0), c("score") / 40) * (0.85 + 0.15 * near)).alias("rerank"))
 
 

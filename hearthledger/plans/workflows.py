@@ -13,7 +13,7 @@ LEX = "l as (select query_id, id from (select *, row_number() over (partition by
 
 
 def best(spark, sf_dir):
-    s = lexical(spark, sf_dir).withColumn("score", r6(c("score")))
+    s = lexical(spark, sf_dir, 12).withColumn("score", r6(c("score")))
     return retrieval.top(s, ["query_id"], [F.desc("score"), F.asc("id")], 12).select("query_id", "id")
 
 
