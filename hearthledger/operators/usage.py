@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthledger.operators.evidence import places
-
 c = F.col
 LEAST, LEAST_ELSEWHERE = 6, 8  # characters of a marker in its owner's own words, and anywhere
+DIRECT = 256  # distinct markers of a chat up to which its texts are asked for all of them
 LABEL = r"^\s*(?:\*{0,3}\s*)?(?:[\[【(（])?([^\]】)）：:\n]{1,120})(?:[\]】)）])?\s*(?::|：)\s*(.+?)\s*$"  # fixed values: how a line names its speaker
 
 
@@ -29,11 +28,33 @@ def spoken(outputs: DataFrame, owners: DataFrame) -> DataFrame:
     return each.select("output_id", "chat_key", "owner_id", F.array_join(F.transform("lines", lambda x: x["words"]), "\n").alias("text"))
 
 
-def _met(texts: DataFrame, key: list[str], packets: DataFrame, least: int) -> DataFrame:
-    """(*key of `texts`, packet_id) where a text holds a packet's marker of `least` characters or more; chats are compared by the caller."""
-    numbered = texts.select(F.struct(*key).alias("source"), "text")
-    markers = packets.where(F.length("marker") >= least).select("packet_id", c("marker").alias("excerpt"))
-    return places(markers, numbered, "packet_id", "source").select("source.*", "packet_id")
+def _pieces(text: Column) -> Column:
+    """Hashes of all pieces of LEAST characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - LEAST + 1), lambda i: F.xxhash64(F.substr(text, i, F.lit(LEAST)))))
+
+
+def _met(texts: DataFrame, packets: DataFrame, least: int) -> DataFrame:
+    """`texts` (chat_key, text and more) with each distinct (of_owner, marker) of their chat that they hold, of markers of `least` (LEAST or more) characters.
+
+    Texts meet markers of their own chat only.  Where a chat has up to DIRECT distinct markers, its texts are asked for all of them, as one array; in larger
+    chats texts meet markers by the chat and a piece of LEAST characters: markers are listed under their rarest one in the chat, texts under all.
+    """
+    markers = packets.where(F.length("marker") >= least).select("chat_key", c("owner_id").alias("of_owner"), "marker").distinct()
+    sizes = markers.groupBy("chat_key").agg(F.count("*").alias("n"))
+    arrays = markers.join(sizes.where(c("n") <= DIRECT), "chat_key").groupBy("chat_key").agg(F.collect_list(F.struct("of_owner", "marker")).alias("markers"))
+    near = texts.join(arrays, "chat_key").withColumn("hit", F.explode(F.filter("markers", lambda m: F.contains(c("text"), m["marker"])))).select(*texts.columns, "hit.*")
+    many = sizes.where(c("n") > DIRECT).select("chat_key")
+    wide = markers.join(many, "chat_key", "left_semi")
+    words = wide.select("chat_key", "marker").distinct()
+    listed = words.select("chat_key", "marker", F.explode(_pieces(c("marker"))).alias("piece"))
+    often = listed.groupBy("chat_key", "piece").agg(F.count("*").alias("often"))
+    rare = listed.join(often, ["chat_key", "piece"]).groupBy("chat_key", "marker").agg(F.min(F.struct("often", "piece"))["piece"].alias("piece"))
+    asked = rare.select("chat_key", "piece").distinct()
+    each = texts.where(F.length("text") >= LEAST).join(many, "chat_key", "left_semi").select("chat_key", "text").distinct()
+    pieces = each.select("chat_key", "text", F.explode(_pieces(c("text"))).alias("piece")).join(asked, ["chat_key", "piece"], "left_semi")
+    held = pieces.join(rare, ["chat_key", "piece"]).where(F.contains("text", "marker")).select("chat_key", "text", "marker")
+    far = texts.join(held, ["chat_key", "text"]).join(wide, ["chat_key", "marker"]).select(*texts.columns, "of_owner", "marker")
+    return near.unionByName(far)
 
 
 def leaks(said: DataFrame, packets: DataFrame) -> DataFrame:
@@ -41,17 +62,14 @@ def leaks(said: DataFrame, packets: DataFrame) -> DataFrame:
 
     `said` is ``spoken``, `packets` (packet_id, chat_key, owner_id, marker).  Markers of under LEAST characters prove nothing; equal markers of an owner are one.
     """
-    met = _met(said, ["output_id", "chat_key", "owner_id"], packets, LEAST)
-    whose = packets.select("packet_id", c("chat_key").alias("of_chat"), c("owner_id").alias("leaked_from"), "marker")
-    return met.join(whose, "packet_id").where("chat_key = of_chat and owner_id <> leaked_from").select("output_id", "owner_id", "leaked_from", "marker").distinct()
+    met = _met(said, packets, LEAST).where("owner_id <> of_owner")
+    return met.select("output_id", "owner_id", c("of_owner").alias("leaked_from"), "marker").distinct()
 
 
 def used(outputs: DataFrame, said: DataFrame, packets: DataFrame) -> DataFrame:
     """(packet_id, usage, confidence): ``explicit`` (1) where the owner itself says the marker, ``implicit`` (0.8) where an output of the chat holds it anyhow, else ``not_used`` (0)."""
-    whose = packets.select("packet_id", c("chat_key").alias("of_chat"), c("owner_id").alias("whose"))
-    own = _met(said, ["output_id", "chat_key", "owner_id"], packets, LEAST).join(whose, "packet_id").where("chat_key = of_chat and owner_id = whose").select("packet_id", F.lit(2).alias("how"))
-    any_ = _met(outputs, ["output_id", "chat_key"], packets, LEAST_ELSEWHERE).join(whose, "packet_id").where("chat_key = of_chat").select("packet_id", F.lit(1).alias("how"))
-    best = own.unionByName(any_).groupBy("packet_id").agg(F.max("how").alias("how"))
-    rows = packets.select("packet_id").distinct().join(best, "packet_id", "left")
+    own = _met(said, packets, LEAST).where("owner_id = of_owner").select("chat_key", "owner_id", "marker", F.lit(2).alias("own")).distinct()
+    any_ = _met(outputs.select("output_id", "chat_key", "text"), packets, LEAST_ELSEWHERE).select("chat_key", "marker", F.lit(1).alias("any")).distinct()
+    rows = packets.join(own, ["chat_key", "owner_id", "marker"], "left").join(any_, ["chat_key", "marker"], "left").groupBy("packet_id").agg(F.max(F.coalesce("own", "any")).alias("how"))
     usage = F.when(c("how") == 2, "explicit").when(c("how") == 1, "implicit").otherwise("not_used")
     return rows.select("packet_id", usage.alias("usage"), F.when(c("how") == 2, 1.0).when(c("how") == 1, 0.8).otherwise(0.0).alias("confidence"))
