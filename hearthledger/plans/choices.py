@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearthledger.cuts import cut
 from hearthledger.functions import memory as M
 from hearthledger.operators import graph, retrieval
 from hearthledger.operators import planning as Q
 from hearthledger.operators import selection as S
 from hearthledger.functions.memory import MUTABLE_KINDS
-from hearthledger.plans.catalogue import AFFINITY_SQL, BLEND, BM25, CONTEXT_SQL, EDGES, ENTITY_SQL, REASON, LEXICAL_SQL, ORACLE, TOKENS, VECTORS, blended, both_lists, weighed, c, query, r6, read, recall_lexical_topk, recalled
-from hearthledger.plans.workflows import LEX, best
+from hearthledger.plans.catalogue import AFFINITY_SQL, BLEND, BM25, CONTEXT_SQL, EDGES, ENTITY_SQL, REASON, LEXICAL_SQL, ORACLE, TOKENS, VECTORS, blended, nearest, weighed, c, query, r6, read, recall_bm25, recall_lexical_topk, recalled
+from hearthledger.plans.workflows import LEX
 from hearthledger.sources.adapters import FACTS, facts, view
 
 CHAT = "concat('src', item_id % 20)"
@@ -28,11 +29,10 @@ u as (select *, 1 as hop from a union all by name select *, 2 as hop from b), go
 g as (select query_id, fact_id as id, round(greatest(0.01, least(1.0, confidence)) / hop, 6) as score, row_number() over (partition by query_id order by greatest(0.01, least(1.0, confidence)) / hop desc, updated_at desc, fact_id) as rank from got)"""
 
 
-def reached(spark, sf_dir):
-    """(query_id, id, score, rank) of the graph: seeds are what the best facts are about, and labels that a query names."""
-    f = facts(spark, sf_dir)
-    e = graph.edges(f)
-    about = best(spark, sf_dir).join(f.where("chat_key is not null"), "id").select("query_id", "chat_key", F.explode(F.array("subject_key", "object_key")).alias("entity_key")).where("entity_key is not null")
+def reached(spark, sf_dir, found):
+    """(query_id, id, score, rank) of the graph: seeds are what the best facts, `found` (a table), are about, and labels that a query names."""
+    e = graph.edges(facts(spark, sf_dir))
+    about = found.join(view(spark, sf_dir, "facts").where("chat_key is not null"), "id").select("query_id", "chat_key", F.explode(F.array("subject_key", "object_key")).alias("entity_key")).where("entity_key is not null")
     q = read(spark, sf_dir, "benchmark").selectExpr("item_id as query_id", f"{CHAT} as chat_key", "text")
     return S.graph_list(e, S.seeds(about, graph.ends(e).select("chat_key", "entity_key"), q))
 
@@ -40,7 +40,7 @@ def reached(spark, sf_dir):
 @query(f"{GRAPH} select query_id, id, score, rank from g")
 def graph_candidates(spark, sf_dir):
     """Facts within two hops of what each query is about."""
-    return reached(spark, sf_dir).withColumn("score", r6(c("score")))
+    return reached(spark, sf_dir, cut(recall_bm25(spark, sf_dir).select("query_id", "id"))).withColumn("score", r6(c("score")))
 
 
 @query(f"""{GRAPH}, {VECTORS.replace('n as (select', 'vn as (select')}, w as (select query_id, id, row_number() over (partition by query_id order by round(score, 6) desc, id) as rank from s),
@@ -48,8 +48,9 @@ r as (select query_id, id, 'lexical' as list, rank, 0.4 / (60 + rank) as part fr
 select query_id, id, round(sum(part), 6)::double as fusion, max(rank) filter (list = 'lexical') as lexical_rank, max(rank) filter (list = 'vector') as vector_rank, max(rank) filter (list = 'graph') as graph_rank from r group by query_id, id""")
 def rrf_three_lists(spark, sf_dir):
     """Reciprocal ranks of words, vectors and graph, fused."""
-    lex, vec = both_lists(spark, sf_dir)
-    out = retrieval.fused({"lexical": (lex, 0.4), "vector": (vec, 0.4), "graph": (reached(spark, sf_dir).select("query_id", "id", "rank"), 0.2)})
+    lex = cut(recall_bm25(spark, sf_dir).select("query_id", "id", "rank"))  # twelve rows a query, which the list and the graph read
+    vec = nearest(spark, sf_dir).selectExpr("query_id", "fact_id as id", "rank")
+    out = retrieval.fused({"lexical": (lex, 0.4), "vector": (vec, 0.4), "graph": (reached(spark, sf_dir, lex).select("query_id", "id", "rank"), 0.2)})
     return out.select("query_id", "id", r6(c("fusion")).alias("fusion"), "lexical_rank", "vector_rank", "graph_rank")
 
 
