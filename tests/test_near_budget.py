@@ -29,4 +29,5 @@ def test_context_is_cut_before_it_is_exchanged(spark):
     import __spark_entry__
 
     plan = __spark_entry__.queries()["context_up_to_budget"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Window") < plan.index("MapInArrow") and plan.count("MapInArrow") == 2  # of these, one is the search
+    below = plan[plan.index("Window") :]
+    assert "order#" in below[below.index("MapInArrow") :].splitlines()[0]  # what the window gets was cut in tasks
